@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from gleanspark.llm.jaccard import op6_jaccard
+from gleanspark.llm.pieces import op4_pieces
+from gleanspark.llm.repeats import op1_repeats
+from gleanspark.llm.secrets import op5_secrets
+from gleanspark.llm.sharding import op2_sharding
+from gleanspark.plans.shipping import shipped
 
-QUERIES = {
-    "op6_jaccard": op6_jaccard,
-}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -9,5 +9,6 @@ from gleanspark.llm.secrets import op5_secrets
 from gleanspark.llm.sharding import op2_sharding
 from gleanspark.plans.shipping import shipped
 
+QUERIES = {f.__name__: shipped(f) for f in (op1_repeats, op2_sharding, op4_pieces, op5_secrets, op6_jaccard)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -117,7 +117,9 @@ def _linked(percent: int):
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, n_shingles, component_id and n_links.
+    """One row per row of ``docs``: its id, n_shingles, component_id, n_links, row_key and component.
+
+    row_key identifies the row by its id and text, component is a number of the component, null without shingles.
 
     A text's set holds the distinct ``k``-word shingles of its A-Z-lowered words; a text with fewer words has all
     of them as one shingle. Two rows link when 100 * |intersection| >= percent * |union|; component_id is the
@@ -158,16 +160,30 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
     roots = components(found.where("a <> b"))
     links = found.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     lows = roots.join(classes.select(F.col("class").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("reach"))
-    reach = roots.join(lows, "root").select(F.col("node").alias("class"), "reach")
+    reach = roots.join(lows, "root").select(F.col("node").alias("class"), "reach", "root")
     info = classes.select("class", "low", "copies").join(reach, "class", "left").join(links, "class", "left")
-    info = info.select("class", F.coalesce("reach", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    info = info.select("class", F.coalesce("root", "class").alias("component"), F.coalesce("reach", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     remove(sets)
     return (
-        every.select("id", "n", "class")
+        every.select("id", "key", "n", "class")
         .join(info, "class", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("key").alias("row_key"), "component")
     )
 
 
+def one_per_group(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without all but one row of each component: the row of the smallest id stays, all columns as they are.
+
+    Rows without shingles all stay. Of equal rows one stays.
+    """
+    groups = jaccard_components(docs, percent, k, id_col, text_col).withColumnRenamed(id_col, "_id")
+    first = groups.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("row_key").alias("k"))).alias("one"))
+    stay = first.select(F.col("one.k").alias("_key"), F.lit(True).alias("_single"))
+    stay = stay.union(groups.where("component is null").select("row_key", F.lit(False)).distinct())
+    rows = docs.withColumn("_key", row_key(id_col, text_col)).join(stay, "_key")
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy("_key")))
+    return rows.where("_n = 1 or not _single").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(plain(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), percent=90, k=3)
+    return jaccard_components(plain(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), percent=90, k=3).drop("row_key", "component")

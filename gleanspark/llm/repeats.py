@@ -333,6 +333,19 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     return every, marked.mapInArrow(_kept(length), "key long, n_removed long, n_spans long, kept binary")
 
 
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([b.as_py().decode("utf-8", "ignore") for b in batch.column("kept")], pa.string())], ["_key", "_kept"])
+
+
+def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated bytes cut from the texts; all rows and other columns stay. Characters that a cut splits go."""
+    _, changed = remove_repeats(docs, length, id_col, text_col)
+    changed = changed.select("key", "kept").mapInArrow(_decoded, "_key long, _kept string")
+    joined = docs.withColumn("_key", row_key(id_col, text_col)).join(changed, "_key", "left")
+    return joined.select(*(F.coalesce("_kept", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+
+
 def op1_repeats(spark, sf_dir: str) -> DataFrame:
     every, changed = remove_repeats(plain(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
     changed = changed.select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))

@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -16,11 +17,32 @@ from gleanspark.llm.store import plain
 
 SPACE = "▁"
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 # types of pieces in the model file
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+_ids, _names = itemgetter(0), itemgetter(1)
+
+
+class Known(dict):
+    """Ids of chunks, and the same as decimals joined by commas; emptied when it holds too many."""
+
+    def __init__(self, model: MergeModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, chunk: str) -> tuple[tuple[int, ...], str]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = tuple(self.model.chunk_ids(chunk))
+        self.model.new[chunk] = ids
+        got = ids, ",".join(map(str, ids))
+        if len(chunk) < 64:
+            self[chunk] = got
+        return got
+
+
 class MergeModel:
     """A merge-type vocabulary with byte fallback and an identity normaliser, read from a SentencePiece model file."""
 
@@ -39,44 +61,58 @@ class MergeModel:
         self.names = [p.piece for p in model.pieces]
         self.types = [p.type for p in model.pieces]
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
-        self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        place = {x: i for i, x in enumerate(sorted({p.score for p in model.pieces if p.type == NORMAL}, reverse=True))}
+        #: Places in the order of scores, best first, equal for equal scores.
+        self.ranks = {p.piece: place[p.score] for p in model.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[3:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.unknown = next(i for i, t in enumerate(self.types) if t == UNKNOWN)
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            self.chunk = re.compile(r"(?s).+")  # a piece may end in a space, so that merges cross words
-        elif any("\n" in p for p in self.ids):
-            self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        else:  # nor do merges cross line ends
-            self.chunk = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
+            raise ValueError("only models without pieces across words or lines are handled")
+        letter, odd = re.compile(r"[^\W\d_]"), set()
+        for p in self.ids:
+            for a, b in zip(p, p[1:]):
+                if SPACE not in (a, b) and bool(letter.match(a)) != bool(letter.match(b)):
+                    odd |= {x for x in (a, b) if letter.match(x)}
+        letters, others = rf"[^\W\d_{''.join(odd)}]", rf"(?:[\W\d_{''.join(odd)}](?<![{SPACE}\n]))"
+        letter = re.compile(letters)
+        apart = all(bool(letter.match(a)) == bool(letter.match(b)) for p in self.ids for a, b in zip(p, p[1:]) if SPACE not in (a, b))
+        #: No merge crosses the ends of these. Where no piece has letters beside other characters, they are apart as well.
+        self.chunk = re.compile(rf"\n|{SPACE}*{letters}+|{SPACE}*{others}+|{SPACE}+" if apart else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self)
 
     def merge(self, chunk: str) -> list[str]:
         """The symbols of ``chunk`` after all merges: best score first, the leftmost of equals."""
         symbols: list[str] = list(chunk)
         n = len(symbols)
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        agenda: list[tuple[float, int, int, str]] = []
-        scores = self.scores
-
-        def propose(left: int, right: int) -> None:
-            piece = symbols[left] + symbols[right]
-            if piece in scores:
-                heapq.heappush(agenda, (-scores[piece], left, right, piece))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
+        if n == 1:
+            return symbols
+        ranks, after, before = self.ranks, [*range(1, n), -1], [*range(-1, n - 1)]
+        # an entry is a rank and a place; whether its pair is still there is seen when it comes up
+        agenda = [ranks[p] << 32 | i for i, p in enumerate(map(str.__add__, symbols, symbols[1:])) if p in ranks]
+        heapq.heapify(agenda)
+        push, pop = heapq.heappush, heapq.heappop
         while agenda:
-            _, left, right, piece = heapq.heappop(agenda)
-            # symbols only grow, so a pair is as it was proposed if both together still spell the piece
-            if not symbols[left] or after[left] != right or symbols[left] + symbols[right] != piece:
+            entry = pop(agenda)
+            left = entry & 0xFFFFFFFF
+            right = after[left]
+            if right < 0 or not symbols[left]:
+                continue
+            piece = symbols[left] + symbols[right]
+            if ranks.get(piece, -1) != entry >> 32:
                 continue
             symbols[left], symbols[right] = piece, ""
             follow = after[left] = after[right]
             if follow >= 0:
                 before[follow] = left
-                propose(left, follow)
-            if before[left] >= 0:
-                propose(before[left], left)
+                pair = piece + symbols[follow]
+                if pair in ranks:
+                    push(agenda, ranks[pair] << 32 | left)
+            prior = before[left]
+            if prior >= 0:
+                pair = symbols[prior] + piece
+                if pair in ranks:
+                    push(agenda, ranks[pair] << 32 | prior)
         return [s for s in symbols if s]
 
     def chunk_ids(self, chunk: str) -> list[int]:
@@ -95,19 +131,30 @@ class MergeModel:
         """Ids of ``text``, and the same as decimals joined by commas."""
         if not text:
             return [], ""
-        known, parts = self.known, []
         text = self.prefix + (text.replace(" ", SPACE) if self.escape else text)
-        for chunk in self.chunk.findall(text):
-            got = known.get(chunk)
-            if got is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = self.chunk_ids(chunk)
-                got = tuple(ids), ",".join(map(str, ids))
-                if len(chunk) < 64:
-                    known[chunk] = got
-            parts.append(got)
-        return list(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])
+        parts = list(map(self.known.__getitem__, self.chunk.findall(text)))
+        return list(chain.from_iterable(map(_ids, parts))), ",".join(map(_names, parts))
+
+    def check_new(self) -> None:
+        """Holds the chunks that were new since the last call against the library, all in one text.
+
+        Texts are encoded chunk by chunk, so what is right for each of these is right for the texts. Each stands
+        where no merge can reach its neighbours: it starts with a space or follows a line end.
+        """
+        if not self.new:
+            return
+        line = self.chunk_ids("\n")
+        text, ids = ["\n"], [*self.chunk_ids(self.prefix), *line]
+        for chunk, own in self.new.items():
+            if not chunk.startswith(SPACE):
+                text.append("\n")
+                ids += line
+            text.append(chunk)
+            ids += own
+        theirs = self.library.encode("".join(text))
+        if theirs != ids:
+            raise ValueError(f"the sentencepiece library encodes one of {list(self.new)[:20]!r} ... otherwise")
+        self.new.clear()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``: pieces joined, spaces restored, runs of byte pieces read as UTF-8, the first space dropped."""
@@ -162,10 +209,7 @@ def _encode(path: str, keep: bool):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids, names = zip(*map(model.encode, texts))
-                theirs = model.library.encode(texts, num_threads=1)
-                if theirs != list(ids):
-                    i = next(i for i, x in enumerate(ids) if x != theirs[i])
-                    raise ValueError(f"the sentencepiece library encodes {texts[i][:80]!r} otherwise")
+                model.check_new()
                 decoded = model.library.decode(list(ids), num_threads=1)
                 digest = [[hashlib.sha256(x.encode()).hexdigest() for x in column] for column in (names, decoded)]
                 columns = [pa.array(list(map(len, ids)), pa.int64()), pa.array(digest[0]), pa.array(digest[1])]
@@ -179,8 +223,8 @@ def _encode(path: str, keep: bool):
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """One row per row of ``docs``: its id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep``, ids and decoded.
 
-    Each whole text is encoded by merging adjacent symbols in the order of their scores; each Arrow batch is held
-    against the sentencepiece library, and a difference stops the job. Null and empty texts have no ids. Rows are
+    Each whole text is encoded by merging adjacent symbols in the order of their scores; what is new in each
+    Arrow batch is held against the sentencepiece library, and a difference stops the job. Null and empty texts have no ids. Rows are
     handled one by one: null ids, ties and repeated rows need no care, an empty table gives an empty result, other
     columns are ignored. No shuffle.
     """

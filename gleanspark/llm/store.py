@@ -21,14 +21,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_tables: dict[str, list[str]] = {}
+
+
+def track(spark: SparkSession, path: str) -> str:
+    """Notes files that ``sweep`` may delete."""
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes this application's working tables; results that still read them must have been written before."""
+    jvm = spark.sparkContext._jvm
+    for name in _tables.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: executors may be lost, its files stay."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = track(spark, new_path(spark, name))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of a few narrow columns, marked for broadcast if it has no more than ``rows`` rows; else a join shuffles it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the files of a table made by ``written``."""
     spark = df.sparkSession

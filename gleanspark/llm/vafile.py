@@ -128,8 +128,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
         return rows.where(sound).groupBy("id").agg(F.min("vector").alias("vector"))
 
     spec = "dim int, ids binary, cells binary, low binary, width binary, exact binary"
-    blocks = written(usable(vectors).mapInArrow(_blocks(scale, VECTORS), spec), "vectors")
-    asked = written(usable(queries).mapInArrow(_blocks(scale, QUERIES), spec).select("dim", F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact")), "queries")
+
+    def packed(df: DataFrame, rows: int) -> DataFrame:
+        """Blocks as full as they can be, however many partitions the rows come in."""
+        sound = written(usable(df), "sound")
+        return sound.coalesce(max(1, -(-sound.count() // rows))).mapInArrow(_blocks(scale, rows), spec)
+
+    blocks = written(packed(vectors, VECTORS), "vectors")
+    asked = written(packed(queries, QUERIES).select("dim", F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact")), "queries")
     # every block of queries meets every block of vectors: rows of work are dealt out evenly
     spread = max(1, asked.count())
     work = blocks.join(asked, "dim").repartition(max(1, min(10_000, spread * blocks.count())))

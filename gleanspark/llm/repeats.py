@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gleanspark.llm.shingles import mix
-from gleanspark.llm.store import plain, remove, row_key, written
+from gleanspark.llm.store import plain, remove, row_key, small, written
 
 #: Bytes of the grams from which each window takes its anchor.
 GRAM = 40
@@ -260,7 +260,7 @@ def _marked(docs: DataFrame, length: int, index_bytes: int) -> tuple[DataFrame,
 
     kinds = hits.groupBy("bucket", "content", "mixed").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("key", "lo", "n")).alias("one"))
     kinds = written(kinds.select("bucket", "content", "mixed", "rows", F.col("one.key").alias("key"), F.col("one.lo").alias("lo"), F.col("one.n").alias("n")), "kinds")
-    texts = keyed.select("key", "text").join(hits.select("key").distinct(), "key")
+    texts = keyed.select("key", "text").join(small(written(hits.select("key").distinct(), "keys")), "key")
     texts = written(texts.dropDuplicates(["key"]), "texts")
 
     wanted = kinds.where("mixed").groupBy("key").agg(F.collect_list(F.struct("bucket", "content", "lo", "n")).alias("wanted"))
@@ -269,8 +269,8 @@ def _marked(docs: DataFrame, length: int, index_bytes: int) -> tuple[DataFrame,
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     tasks = max(1, -(-2 * total // index_bytes))
     sized = pieces.join(sizes, "bucket")
-    small = sized.where(F.col("bytes") <= index_bytes).withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
-    found = small.drop("bytes").groupBy("task").applyInArrow(_index(length), _FOUND)
+    fits = sized.where(F.col("bytes") <= index_bytes).withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
+    found = fits.drop("bytes").groupBy("task").applyInArrow(_index(length), _FOUND)
     large = sized.where(F.col("bytes") > index_bytes)
     if large.limit(1).count():
         windows = written(large.select("bucket", "content", "piece").mapInArrow(_windows(length), "bucket long, content long, at int, window long"), "windows")

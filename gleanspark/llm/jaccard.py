@@ -9,8 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gleanspark.llm.shingles import Fragments, WordHashes, shingle_set
-from gleanspark.llm.store import components, plain, remove, row_key, written
+from gleanspark.llm.shingles import PLACES, Fragments, WordHashes, places, shingle_set
+from gleanspark.llm.store import components, plain, remove, row_key, small, written
 
 #: Sets compared at once: a task holds two blocks of this many.
 BLOCK = 256
@@ -20,20 +20,94 @@ BUNDLE = 1500
 COLUMNS = 4096
 
 
-def _sets(k: int, percent: int):
+#: Members of a bucket that are compared with each other by bitmaps.
+COMPARED = 4096
+#: Rows, about, from which frequent shingles are learnt, and how many of them must have one. They only save work.
+SAMPLE, OFTEN = 16_384, 3
+
+
+def _sampled(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            seen = [np.unique(places(shingle_set(t.as_py(), k, words))) for t in batch.column("text")]
+            place, n = np.unique(np.concatenate(seen) if seen else np.empty(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(n, pa.int64())], ["place", "n"])
+
+    return run
+
+
+def _frequent(keyed: DataFrame, k: int) -> np.ndarray:
+    """A bitmap of 2**PLACES bits: the places of shingles that occur in several of about SAMPLE rows."""
+    sample = keyed.where(F.pmod("key", F.lit(max(1, keyed.count() // SAMPLE))) == 0).select("text")
+    found = sample.mapInArrow(_sampled(k), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    at = found.select("place").toPandas()["place"].to_numpy(np.int64)
+    bits = np.zeros(1 << PLACES, np.uint8)
+    bits[at] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def _sets(k: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cut = WordHashes(), Fragments(percent)
+        words, cut = WordHashes(), Fragments(percent, frequent.value)
         for batch in batches:
-            sizes, classes, sigs = [], [], []
+            sizes, classes, sigs, bits = [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), k, words)
                 sizes.append(len(s))
                 classes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
                 sigs.append(cut.signatures(s).view(np.int64))
+                bits.append(bitmap(s, max(64, 1 << (cut.lower(cut.class_of(len(s)) + 1)).bit_length())).tobytes() if len(sigs[-1]) else None)
             lengths = np.cumsum([0, *map(len, sigs)])
             values = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(values, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists], ["id", "key", "n", "class", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), lists], ["id", "key", "n", "class", "bits", "sigs"])
+
+    return run
+
+
+def bitmap(s: np.ndarray, size: int) -> np.ndarray:
+    """A bit for each element of a set, by its hash modulo ``size``."""
+    bits = np.zeros(size, np.uint8)
+    bits[(s >> np.uint64(7)).astype(np.int64) & (size - 1)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def _near(percent: int):
+    """Edges that join the members of each bucket as far as their bitmaps allow a link.
+
+    Each bit in which two bitmaps differ is an element in which the sets differ, so too many such bits rule a link
+    out, and nothing that is linked is ever told apart. Very large buckets are joined without a look.
+    """
+
+    def edges(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, int]]:
+        if len(ids) > COMPARED:
+            yield from ((int(ids[0]), int(x)) for x in ids[1:])
+            return
+        width = min(map(len, bits))
+        folded = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), 0) for b in bits])
+        words, label = folded.view(np.uint64), np.arange(len(ids))
+        for i in range(len(ids) - 1):
+            apart = np.bitwise_count(words[i + 1 :] ^ words[i]).sum(1)
+            may = apart * (100 + percent) <= (100 - percent) * (sizes[i + 1 :] + sizes[i])
+            for j in i + 1 + np.flatnonzero(may & (label[i + 1 :] != label[i])):
+                if label[j] != label[i]:
+                    yield int(ids[i]), int(ids[j])
+                    label[label == label[j]] = label[i]
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, ids, n = (table.column(c).to_numpy() for c in ("sig", "class", "n"))
+        order = np.lexsort((ids, sig))
+        sig, ids, n = sig[order], ids[order], n[order]
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])]
+        order, sig, ids, n = order[fresh], sig[fresh], ids[fresh], n[fresh]
+        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        bits, out = table.column("bits"), set()
+        for a, b in zip(starts, np.r_[starts[1:], len(sig)]):
+            if b - a > 1:
+                out.update(edges(ids[a:b], n[a:b], [bits[i].as_py() for i in order[a:b]]))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -130,23 +204,28 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
     An empty table gives an empty result; other columns are ignored.
 
     Equal sets are one class. A set is cut into enough fragments of the hash order that linked sets share a whole
-    one; classes that share any form candidate clusters, found by map-side combined minima. Only their sets are
-    fetched. A cluster is compared in blocks of at most about BLOCK sets a side, so that no task holds more than
+    one; classes that share one, and whose bitmaps don't rule a link out, form candidate clusters. Only their sets
+    are fetched. A cluster is compared in blocks of at most about BLOCK sets a side, so that no task holds more than
     two; inside, overlaps are counted fragment by fragment and summed.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     keyed = source.select("id", row_key("id", "text").alias("key"), "text")
     id_type = source.schema["id"].dataType.simpleString()
-    every = written(keyed.mapInArrow(_sets(k, percent), f"id {id_type}, key long, n long, class long, sigs array<long>"), "sets")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(keyed, k))
+    every = written(keyed.mapInArrow(_sets(k, percent, frequent), f"id {id_type}, key long, n long, class long, bits binary, sigs array<long>"), "sets")
 
     pairs = every.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "class")
-    shared = pairs.groupBy("sig").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead <> last")
-    stars = pairs.join(shared.select("sig", "lead"), "sig").where("class <> lead").select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct()
+    shared = written(pairs.groupBy("sig").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead <> last").select("sig"), "shared")
+    members = written(pairs.join(small(shared), "sig"), "members")
+    info = every.where("bits is not null").dropDuplicates(["class"]).select("class", "n", "bits")
+    tasks = max(1, members.count() // 20_000)
+    near = members.join(info, "class").withColumn("task", F.pmod(F.xxhash64("sig"), F.lit(tasks)))
+    stars = near.groupBy("task").applyInArrow(_near(percent), "a long, b long").distinct()
     clusters = components(stars)
 
     classes = every.where("class is not null").groupBy("class").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"))
     wanted = clusters.select(F.col("root").alias("cluster"), F.col("node").alias("class")).join(classes, "class").select("cluster", "class", "copies", "key")
-    fetched = keyed.select("key", "text").join(wanted, "key").select("cluster", "class", "copies", "text")
+    fetched = keyed.select("key", "text").join(small(written(wanted, "wanted")), "key").select("cluster", "class", "copies", "text")
     sets = written(fetched.mapInArrow(_tokens(k), "cluster long, class long, copies long, tokens binary").dropDuplicates(["class"]), "tokens")
 
     sizes = sets.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -176,13 +255,21 @@ def one_per_group(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str =
 
     Rows without shingles all stay. Of equal rows one stays.
     """
-    groups = jaccard_components(docs, percent, k, id_col, text_col).withColumnRenamed(id_col, "_id")
-    first = groups.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("row_key").alias("k"))).alias("one"))
-    stay = first.select(F.col("one.k").alias("_key"), F.lit(True).alias("_single"))
-    stay = stay.union(groups.where("component is null").select("row_key", F.lit(False)).distinct())
-    rows = docs.withColumn("_key", row_key(id_col, text_col)).join(stay, "_key")
-    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy("_key")))
-    return rows.where("_n = 1 or not _single").select(*(F.col(f"`{c}`") for c in docs.columns))
+    groups = jaccard_components(docs, percent, k, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("row_key").alias("_key"), "component").where("component is not null")
+    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"))
+    first = groups.groupBy("component").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    many = written(groups.join(first, "component").select("_key", (F.col("_key") == F.col("one.k")).alias("_first")).groupBy("_key").agg(F.max("_first").alias("_first"), F.count(F.lit(1)).alias("_rows")), "many")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("_key", row_key(id_col, text_col))
+    goes = small(many.where("not _first").select("_key"))
+    rest = keyed.join(goes, "_key", "left_anti")
+    twice = many.where("_first and _rows > 1").select("_key", F.lit(True).alias("_twice"))
+    if not twice.limit(1).count():
+        return rest.select(names)
+    # equal rows, of which one stays
+    marked = rest.join(small(twice), "_key", "left")
+    single = marked.where("_twice").withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy("_key"))).where("_n = 1")
+    return marked.where("_twice is null").select(names).union(single.select(names))
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ import numpy as np
 import xxhash
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-#: Fragments beyond what the pigeonhole needs; a document with up to this many empty ones needn't emit those.
-SPARE = 2
+#: Bits of the places that stand for frequent elements.
+PLACES = 25
 #: A size class spans this many steps of the threshold.
 STEPS = 3
 
@@ -48,18 +48,28 @@ def shingle_set(text: str | None, k: int, words: WordHashes) -> np.ndarray:
     return np.unique(mix(out))
 
 
+def places(s: np.ndarray) -> np.ndarray:
+    """Numbers below 2**PLACES of the elements of a set."""
+    return (s >> np.uint64(64 - PLACES - 7)).astype(np.int64) & ((1 << PLACES) - 1)
+
+
 class Fragments:
     """Cuts sets into fragments of the hash order so that two sets whose Jaccard similarity is at least ``percent``/100 share a whole one.
 
     Sets of similarity t differ in at most (1-t)/(1+t) * (|x|+|y|) elements; with more fragments than that at
     least one has none of them. Sizes are dealt into classes spanning STEPS factors of t; a set near a class's
     upper bound also emits the fragments of the class below, as its larger partner there.
+
+    A fragment is weak if it is empty or all its elements are in ``frequent``, a bitmap over ``places``. There
+    are some fragments to spare, and a set with no more weak ones than that doesn't emit them: a partner shares
+    one more whole fragment than can be weak. So any bitmap gives the same links, and a good one fewer candidates.
     """
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, frequent: np.ndarray | None = None):
         self.t = percent / 100
         self.percent = percent
         self.width = -STEPS * math.log(self.t) if percent < 100 else 1.0
+        self.frequent = frequent
 
     def lower(self, c: int) -> int:
         """The smallest size of class c."""
@@ -73,11 +83,13 @@ class Fragments:
             c -= 1
         return c
 
-    def count(self, c: int) -> int:
-        """Fragments of class c."""
+    def count(self, c: int) -> tuple[int, int]:
+        """Fragments of class c, and how many of them are to spare."""
         top = self.lower(c + 1) - 1  # the smaller of a pair
         larger = top * 100 // self.percent
-        return (100 - self.percent) * (top + larger) // (100 + self.percent) + 1 + SPARE
+        differ = (100 - self.percent) * (top + larger) // (100 + self.percent)
+        spare = 2 + differ // 24
+        return differ + 1 + spare, spare
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """64-bit hashes of (class, number, elements) of the fragments of the sorted set ``s``."""
@@ -89,17 +101,21 @@ class Fragments:
         np.cumsum(mix(s + np.uint64(0x9E3779B97F4A7C15)), out=sums[1:])
         other = np.zeros(n + 1, np.uint64)
         np.cumsum(mix(s ^ np.uint64(0xD6E8FEB86659FD93)), out=other[1:])
+        rare = np.arange(n + 1)
+        if self.frequent is not None:
+            at = places(s)
+            np.cumsum((self.frequent[at >> 3] >> (at & 7).astype(np.uint8)) & 1 ^ 1, out=rare[1:])
         for k in (c, c - 1):
             if k < 0 or k < c and self.percent * n > 100 * (self.lower(c) - 1):
                 continue
-            f = self.count(k)
-            if f <= 1 + SPARE:
+            f, spare = self.count(k)
+            if f == 1 + spare:
                 continue  # only equal sets can be linked
             cuts = np.zeros(f + 1, np.int64)
             cuts[1:-1] = np.searchsorted(s, (np.arange(1, f, dtype=np.float64) * (2.0**64 / f)).astype(np.uint64))
             cuts[-1] = n
             a, b = cuts[:-1], cuts[1:]
             key = mix((sums[b] - sums[a]) ^ mix((other[b] - other[a]) + np.uint64(k * 1_000_003 + 17) + (np.arange(f, dtype=np.uint64) << np.uint64(32))))
-            full = b > a
-            out.append(key if f - full.sum() > SPARE else key[full])
+            strong = rare[b] > rare[a]
+            out.append(key if f - strong.sum() > spare else key[strong])
         return np.concatenate(out) if out else np.empty(0, np.uint64)

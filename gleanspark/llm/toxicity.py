@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanspark.llm.store import new_path, plain, written
+from gleanspark.llm.store import new_path, plain, track, written
 
 #: Characters of context, and what each seen sequence's count gives up for the unseen.
 CONTEXT, DISCOUNT = 4, 0.75
@@ -256,7 +256,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     words = written(counted.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "words")
     pairs = words.mapInArrow(_count_grams, "context string, char string, ordinary long, toxic long")
     counts = written(pairs.groupBy("context", "char").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "grams")
-    path = new_path(spark, "model")
+    path = track(spark, new_path(spark, "model"))
     model = kneser_ney(counts).mapInArrow(_keys, "key long, llr float")
     model.repartitionByRange("key").sortWithinPartitions("key").write.option("compression", "zstd").parquet(path)
 

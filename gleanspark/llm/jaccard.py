@@ -73,6 +73,21 @@ def bitmap(s: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def _may(percent: int):
+    """Whether the bitmaps of two classes allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            may = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "n2", "bits", "bits2"))):
+                width = min(len(x), len(y))
+                a, b = (np.bitwise_or.reduce(np.frombuffer(z, np.uint64).reshape(-1, width // 8), 0) for z in (x, y))
+                may.append(int(np.bitwise_count(a ^ b).sum()) * (100 + percent) <= (100 - percent) * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("lead"), pa.array(may, pa.bool_())], ["class", "lead", "may"])
+
+    return run
+
+
 def _near(percent: int):
     """Edges that join the members of each bucket as far as their bitmaps allow a link.
 
@@ -215,12 +230,19 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
     every = written(keyed.mapInArrow(_sets(k, percent, frequent), f"id {id_type}, key long, n long, class long, bits binary, sigs array<long>"), "sets")
 
     pairs = every.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "class")
-    shared = written(pairs.groupBy("sig").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead <> last").select("sig"), "shared")
-    members = written(pairs.join(small(shared), "sig"), "members")
-    info = every.where("bits is not null").dropDuplicates(["class"]).select("class", "n", "bits")
-    tasks = max(1, members.count() // 20_000)
-    near = members.join(info, "class").withColumn("task", F.pmod(F.xxhash64("sig"), F.lit(tasks)))
-    stars = near.groupBy("task").applyInArrow(_near(percent), "a long, b long").distinct()
+    shared = written(pairs.groupBy("sig").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead <> last").select("sig", "lead"), "shared")
+    members = written(pairs.join(small(shared, 2_500_000), "sig"), "members")
+    info = written(every.where("bits is not null").dropDuplicates(["class"]).select("class", "n", "bits"), "bitmaps")
+    stars = members.where("class <> lead").select("class", "lead").distinct()
+    stars = stars.join(info, "class").join(info.select(F.col("class").alias("lead"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "lead")
+    stars = written(stars.mapInArrow(_may(percent), "class long, lead long, may boolean"), "stars")
+    # where a member can't be linked to its bucket's first, any two of the members may be
+    apart = written(members.join(small(written(stars.where("not may").select("class", "lead"), "apart")), ["class", "lead"]).select("sig").distinct(), "buckets")
+    split = written(members.join(small(apart), "sig").select("sig", "class"), "split")
+    tasks = max(1, split.count() // 20_000)
+    split = split.join(info, "class").withColumn("task", F.pmod(F.xxhash64("sig"), F.lit(tasks)))
+    others = split.groupBy("task").applyInArrow(_near(percent), "a long, b long")
+    stars = stars.where("may").select(F.col("class").alias("a"), F.col("lead").alias("b")).union(others).distinct()
     clusters = components(stars)
 
     classes = every.where("class is not null").groupBy("class").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"))

@@ -138,20 +138,18 @@ class MergeModel:
     def check_new(self) -> None:
         """Holds the chunks that were new since the last call against the library, all in one text.
 
-        Texts are encoded chunk by chunk, so what is right for each of these is right for the texts. Each stands
-        where no merge can reach its neighbours: it starts with a space or follows a line end.
+        Texts are encoded chunk by chunk, so what is right for each of these is right for the texts. Each stands on
+        a line of its own, where no merge can reach its neighbours.
         """
         if not self.new:
             return
         line = self.chunk_ids("\n")
-        text, ids = ["\n"], [*self.chunk_ids(self.prefix), *line]
-        for chunk, own in self.new.items():
-            if not chunk.startswith(SPACE):
-                text.append("\n")
-                ids += line
-            text.append(chunk)
+        ids = [*self.chunk_ids(self.prefix)]
+        for own in self.new.values():
+            ids += line
             ids += own
-        theirs = self.library.encode("".join(text))
+        text = ["", *self.new]
+        theirs = self.library.encode("\n".join(text))
         if theirs != ids:
             raise ValueError(f"the sentencepiece library encodes one of {list(self.new)[:20]!r} ... otherwise")
         self.new.clear()

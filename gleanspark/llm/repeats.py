@@ -16,8 +16,8 @@ from gleanspark.llm.store import plain, remove, row_key, small, written
 GRAM = 40
 #: Windows of a long text handled at once.
 SLAB = 1 << 20
-#: Bytes that one index holds; a bucket with more is counted window by window.
-INDEX_BYTES = 4 << 20
+#: Bytes that one index holds at most; a bucket with more is counted window by window. Smaller buckets share indexes of about BUNDLE bytes.
+INDEX_BYTES, BUNDLE = 4 << 20, 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -267,7 +267,7 @@ def _marked(docs: DataFrame, length: int, index_bytes: int) -> tuple[DataFrame,
     pieces = written(texts.join(wanted, "key").select("text", "wanted").mapInArrow(_pieces(length), "bucket long, content long, piece binary"), "pieces")
     sizes = pieces.groupBy("bucket").agg(F.sum(F.length("piece") + 1).alias("bytes"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    tasks = max(1, -(-2 * total // index_bytes))
+    tasks = max(1, -(-total // min(BUNDLE, index_bytes)))
     sized = pieces.join(sizes, "bucket")
     fits = sized.where(F.col("bytes") <= index_bytes).withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
     found = fits.drop("bytes").groupBy("task").applyInArrow(_index(length), _FOUND)

@@ -76,10 +76,10 @@ def query_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def corpus(spark: SparkSession, manifest: str) -> DataFrame:
-    """(source, path, sha256, chunks_at_default, content) of a manifest's files, paths being relative to it."""
+def corpus(spark: SparkSession, manifest: str, root: str | None = None) -> DataFrame:
+    """(source, path, sha256, chunks_at_default, content) of a manifest's files, paths being relative to ``root`` or else to it."""
     value = json.loads(spark.read.text(manifest, wholetext=True).first()[0])
-    base = manifest.rsplit("/", 1)[0]
+    base = root or manifest.rsplit("/", 1)[0]
     rows = [(f["source"], f"{base}/{f['path']}", f["sha256"], int(f.get("chunks_at_default") or 0)) for f in value["files"]]
     listed = spark.createDataFrame(rows, "source string, path string, sha256 string, chunks_at_default int")
     texts = spark.read.text([r[1] for r in rows], wholetext=True).select(F.col("value").alias("content"), F.regexp_extract("_metadata.file_path", r"([^/]*)$", 1).alias("_name"))

@@ -10,12 +10,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleanspark.llm.store import new_path, plain, track, written
 
-#: Characters of context, and what each seen sequence's count gives up for the unseen.
-CONTEXT, DISCOUNT = 4, 0.75
+#: Characters of context at a word's start, where stems are, and inside it; what each seen sequence's count gives up for the unseen.
+PREFIX, CONTEXT, DISCOUNT = 9, 4, 0.75
 #: Labelled rows that calibrate the score; the counts take all the others.
 CALIBRATION_ROWS = 20_000
 #: Labels up to this many are sent to every executor; more are joined by a shuffle.
@@ -24,6 +24,10 @@ BROADCAST_LABELS = 4_000_000
 KEPT_ENTRIES = 8_000_000
 #: Bytes of text whose words are looked up at once.
 BLOCK = 32 << 20
+#: Log-likelihood ratio that ordinary words reach by chance.
+NOISE = 3.0
+FEATURES = ["f0", "f1", "f2", "f3", "f4"]
+_KINDS = ", ".join(f"{f} double" for f in FEATURES)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -32,9 +36,17 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams(word: str) -> list[tuple[str, str]]:
-    """(context, character) of each character of ``word`` and of its end; the word's start is ^, its end $."""
+    """(context, character) of each character of ``word`` and of its end; the word's start is ^, its end $.
+
+    The context is all that precedes, up to PREFIX characters, then the last CONTEXT ones.
+    """
     w = f"^{word}$"
-    return [(w[max(0, i - CONTEXT) : i], w[i]) for i in range(1, len(w))]
+    return [(w[:i] if i <= PREFIX else w[i - CONTEXT : i], w[i]) for i in range(1, len(w))]
+
+
+def _tail() -> Column:
+    """The context that a context backs off to: its last characters, fewer than CONTEXT and than it has."""
+    return F.right("context", F.least(F.length("context") - 1, F.lit(CONTEXT - 1)))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +83,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     """(context, char, llr): log P(char | context) of the toxic model less that of the ordinary one.
 
     ``counts`` has (context, char, ordinary, toxic). Both models discount their own counts and back off to one
-    shared distribution for the context less its first character, estimated from the number of different contexts
+    shared distribution for the end of the context, estimated from the number of different contexts
     that a character follows in either class, and so on down to none. char is null for what is unseen after a
     context: there the shared probability is the same for both, and the weights of backing off remain.
     """
@@ -79,9 +91,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     upper = counts.select("context", "char")
     levels = written(upper, "events")
     for n in range(CONTEXT - 1, -1, -1):
-        # contexts of n characters after dropping the first; those at a word's start are whole already
-        above = levels.where(F.length("context") == n + 1)
-        level = above.groupBy(F.substring("context", 2, CONTEXT).alias("context"), "char").agg(F.count(F.lit(1)).alias("n"))
+        # what backs off to contexts of n characters: all longer ones at the top, else those one longer
+        above = levels.where(F.length("context") > n)
+        level = above.groupBy(_tail().alias("context"), "char").agg(F.count(F.lit(1)).alias("n"))
         lower[n] = level = written(level, f"level{n}")
         levels = written(counts.where(F.length("context") == n).select("context", "char").union(level.select("context", "char")), "events") if n else level
     shared = None
@@ -93,14 +105,14 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             spread = level.groupBy().agg(F.count(F.lit(1)).alias("all")).first()["all"] or 1
             below = F.lit(1.0 / spread)
         else:
-            level = level.join(shared.select(F.col("context").alias("tail"), "char", F.col("p").alias("below")), (F.substring(F.col("context"), 2, CONTEXT) == F.col("tail")) & (level["char"] == shared["char"])).drop("tail").drop(shared["char"])
+            level = level.join(shared.select(F.col("context").alias("tail"), "char", F.col("p").alias("below")), (_tail() == F.col("tail")) & (level["char"] == shared["char"])).drop("tail").drop(shared["char"])
             below = F.col("below")
         p = (F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * below) / F.col("total")
         level = written(level.select("context", "char", p.alias("p")), f"shared{n}")
         shared = level if shared is None else shared.unionByName(level)
     whole = counts.groupBy("context").agg(*(f(c).alias(f"{c}_{name}") for c in ("ordinary", "toxic") for name, f in (("total", F.sum), ("kinds", lambda c: F.count_if(F.col(c) > 0)))))
     tails = shared.select(F.col("context").alias("tail"), F.col("char").alias("_char"), "p")
-    seen = counts.join(whole, "context").join(tails, (F.substring(F.col("context"), 2, CONTEXT) == F.col("tail")) & (F.col("char") == F.col("_char")))
+    seen = counts.join(whole, "context").join(tails, (_tail() == F.col("tail")) & (F.col("char") == F.col("_char")))
 
     def weight(c: str):
         return F.when(F.col(f"{c}_total") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.nullif(F.col(f"{c}_total"), F.lit(0))).otherwise(1.0)
@@ -123,6 +135,7 @@ class Model:
         self.files, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
         self.paths = sorted(f.path for f in self.files.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
         self.words: dict[str, float] = {}
+        self.best: dict[str, float] = {}
         parts, n = [], 0
         for part in self.parts():
             n += len(part[0])
@@ -148,6 +161,7 @@ class Model:
         new = [w for w in words if w not in self.words]
         if len(self.words) > 250_000:
             self.words.clear()
+            self.best.clear()
             new = list(words)
         if not new:
             return
@@ -165,17 +179,22 @@ class Model:
         llr = np.where(np.isnan(known), np.where(np.isnan(context), 0.0, context), known)
         sums = np.r_[0.0, np.cumsum(llr)]
         ends = np.cumsum([0, *map(len, pairs)])
-        self.words.update(zip(new, (sums[ends[1:]] - sums[ends[:-1]]).tolist()))
-
-    def features(self, words: list[str]) -> tuple[float, float, float]:
-        """Length-normalised log-likelihood ratios: of the whole text, and of its most toxic one and three expressions."""
+        whole = sums[ends[1:]] - sums[ends[:-1]]
+        # the best run of characters: sums less the least sum before them in the word, the words kept apart by far shifts
+        shift = np.repeat(np.arange(len(new)) * -1e4, np.diff(ends))
+        low = np.minimum.accumulate(sums[:-1] + shift)
+        best = np.maximum.reduceat(sums[1:] + shift - low, ends[:-1])
+        self.words.update(zip(new, whole.tolist()))
+        self.best.update(zip(new, best.tolist()))
+
+    def features(self, words: list[str]) -> tuple[float, ...]:
+        """Log-likelihood ratios: of the whole text for each character, of its most toxic expression and three; the text's log length; the excess of expressions over NOISE for each word."""
         if not words:
-            return 0.0, 0.0, 0.0
-        ratio = np.array([self.words[w] for w in words])
-        size = np.array([len(w) + 1 for w in words])
-        each = ratio / size
-        top = np.partition(each, -3)[-3:] if len(each) > 3 else each
-        return float(ratio.sum() / size.sum()), float(top.max()), float(top.sum() / 3)
+            return (0.0,) * len(FEATURES)
+        size = sum(map(len, words)) + len(words)
+        best = np.fromiter(map(self.best.__getitem__, words), np.float64, len(words))
+        top = np.partition(best, -3)[-3:] if len(best) > 3 else best
+        return math.fsum(map(self.words.__getitem__, words)) / size, float(top.max()), float(top.sum() / 3), math.log(len(words)), float(np.clip(best - NOISE, 0, NOISE).mean())
 
 
 def key_of(gram: str) -> int:
@@ -207,7 +226,7 @@ def _features(path: str):
                     at += 1
                 model.learn(set().union(*texts))
                 rows = list(map(model.features, texts))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, at - start) for c in batch.schema.names if c != "text"), *(pa.array(x, pa.float64()) for x in zip(*rows))], [c for c in batch.schema.names if c != "text"] + ["f0", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, at - start) for c in batch.schema.names if c != "text"), *(pa.array(x, pa.float64()) for x in zip(*rows))], [c for c in batch.schema.names if c != "text"] + FEATURES)
 
     return run
 
@@ -260,14 +279,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = kneser_ney(counts).mapInArrow(_keys, "key long, llr float")
     model.repartitionByRange("key").sortWithinPartitions("key").write.option("compression", "zstd").parquet(path)
 
-    calibration = marked.where(fold() == 1).select("id", "text", "toxic").mapInArrow(_features(path), f"id {source.schema['id'].dataType.simpleString()}, toxic int, f0 double, f1 double, f2 double")
-    rows = calibration.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select("toxic", "f0", "f1", "f2").toPandas()
-    features = source.mapInArrow(_features(path), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "text") + ", f0 double, f1 double, f2 double")
+    calibration = marked.where(fold() == 1).select("id", "text", "toxic").mapInArrow(_features(path), f"id {source.schema['id'].dataType.simpleString()}, toxic int, {_KINDS}")
+    rows = calibration.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select("toxic", *FEATURES).toPandas()
+    features = source.mapInArrow(_features(path), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "text") + f", {_KINDS}")
     if rows["toxic"].nunique() < 2:
         score = F.lit(0.0)
     else:
-        mean, spread, w = logistic(rows[["f0", "f1", "f2"]].to_numpy(), rows["toxic"].to_numpy(float))
-        z = sum((F.col(f"f{i}") - float(mean[i])) / float(spread[i]) * float(w[i]) for i in range(3)) + float(w[3])
+        mean, spread, w = logistic(rows[FEATURES].to_numpy(), rows["toxic"].to_numpy(float))
+        z = sum((F.col(f) - float(mean[i])) / float(spread[i]) * float(w[i]) for i, f in enumerate(FEATURES)) + float(w[-1])
         score = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))))
     out = features.select(F.col("id").alias(id_col), (fold() == 0).alias("held_out"), score.alias("score"), *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)))
     return out.select(id_col, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)

@@ -457,29 +457,25 @@ def test_kneser_ney_sums_to_one(spark):
     keys = sorted({(c, x) for c, x, _ in counts})
     df = spark.createDataFrame([(c, x, counts[c, x, 0], counts[c, x, 1]) for c, x in keys], "context string, char string, ordinary long, toxic long")
     model = {(r.context, r.char): r.llr for r in toxicity.kneser_ney(df).collect()}
-    follow = defaultdict(lambda: defaultdict(set))
-    for c, x in keys:
-        while c:
-            follow[c[1:]][x].add(c)
-            c = c[1:]
+    tail = lambda c: c[len(c) - min(len(c) - 1, 3) :]
     # brute force of the shared distribution, from the number of different contexts one longer
     level = {n: Counter() for n in range(4)}
     for n in (3, 2, 1, 0):
-        above = {(c, x) for c, x in keys if len(c) == n + 1} | ({(c, x) for c, x in level[n + 1]} if n < 3 else set())
+        above = {(c, x) for c, x in keys if len(c) == n + 1 or n == 3 < len(c)} | ({(c, x) for c, x in level[n + 1]} if n < 3 else set())
         for c, x in above:
-            level[n][c[1:], x] += 1
+            level[n][tail(c), x] += 1
     every = {x for _, x in level[0]}
 
     def shared(c, x):
         if c is None:
             return 1 / len(every)
         own = {y: v for (d, y), v in level[len(c)].items() if d == c}
-        total, rest = sum(own.values()), shared(c[1:] if c else None, x)
+        total, rest = sum(own.values()), shared(tail(c) if c else None, x)
         return (max(own.get(x, 0) - 0.75, 0) + 0.75 * len(own) * rest) / total
 
     def p(kind, c, x):
         own = {y: counts[c, y, kind] for d, y in keys if d == c and counts[c, y, kind]}
-        total, rest = sum(own.values()), shared(c[1:], x)
+        total, rest = sum(own.values()), shared(tail(c), x)
         return rest if not total else (max(own.get(x, 0) - 0.75, 0) + 0.75 * len(own) * rest) / total
 
     for c, x in keys:

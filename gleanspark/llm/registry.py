@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gleanspark.llm import oracles
 from gleanspark.llm.jaccard import op6_jaccard
 from gleanspark.llm.packing import op10_packing
 from gleanspark.llm.pieces import op4_pieces
@@ -17,4 +18,5 @@ from gleanspark.plans.shipping import shipped
 OPERATORS = (op1_repeats, op2_sharding, op3_quality, op4_pieces, op5_secrets, op6_jaccard, op7_warc, op8_topk, op9_toxicity, op10_packing)
 QUERIES = {f.__name__: shipped(f) for f in OPERATORS}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others have models, packings or substrings that SQL can't express, or not over whole texts.
+ORACLE_SQL: dict[str, str] = {"op6_jaccard": oracles.JACCARD, "op7_warc": oracles.WARC, "op8_topk": oracles.TOP_K}

@@ -202,4 +202,4 @@ def read_archives(archives: DataFrame, uri: str) -> DataFrame:
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     uri = new_path(spark, "warc")
     archives = write_archives(plain(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html"), uri)
-    return read_archives(archives, uri)
+    return read_archives(archives, uri).drop("archive", "offset")

@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleanspark.llm.store import plain, ranked, row_key, written
+from gleanspark.llm.store import held, plain, ranked, row_key, written
 
 #: The token after each document.
 END = 1
@@ -19,8 +18,11 @@ END = 1
 ROUNDS = 60
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str):
+    return held(("tokenizer", path), lambda: load_tokenizer(path))
+
+
+def load_tokenizer(path: str):
     """The vocabulary of a byte-level ``tokenizers`` file in the faster of the two libraries that read it, and in its own."""
     import public_tokenizers
     import tiktoken

@@ -6,14 +6,13 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleanspark.llm.store import plain
+from gleanspark.llm.store import held, plain
 
 SPACE = "▁"
 #: Chunks whose ids a worker remembers.
@@ -191,9 +190,8 @@ def _utf8(run: bytes) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=2)
 def merge_model(path: str) -> MergeModel:
-    return MergeModel(path)
+    return held(("pieces", path), lambda: MergeModel(path))
 
 
 _SCHEMA = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+_held: dict = {}
+
+
+def held(name: tuple, make):
+    """What ``make()`` gave under ``name``, kept in this process until another name is asked for: workers outlive stages, large models shouldn't."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _held[name] = make()
+    return _held[name]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one, kept in the session."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.gleanspark.own.dir", None)

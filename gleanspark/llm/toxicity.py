@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleanspark.llm.store import new_path, plain, track, written
+from gleanspark.llm.store import held, new_path, plain, track, written
 
 #: Characters of context at a word's start, where stems are, and inside it; what each seen sequence's count gives up for the unseen.
 PREFIX, CONTEXT, DISCOUNT = 9, 4, 0.75
@@ -159,7 +159,7 @@ class Model:
     def learn(self, words: set[str]) -> None:
         """Remembers the ratios of ``words``: summed over their characters, an unseen one taking its context's."""
         new = [w for w in words if w not in self.words]
-        if len(self.words) > 250_000:
+        if len(self.words) > 200_000:
             self.words.clear()
             self.best.clear()
             new = list(words)
@@ -207,26 +207,21 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("llr").cast(pa.float32())], ["key", "llr"])
 
 
-_models: dict[str, Model] = {}
-
-
-def _features(path: str):
+def _features(path: str, with_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _models:
-            _models.clear()
-            _models[path] = Model(path)
-        model = _models[path]
+        model = held(("toxicity", path), lambda: Model(path))
         for batch in batches:
             at = 0
             while at < batch.num_rows:
                 texts, size, start = [], 0, at
-                while at < batch.num_rows and (not texts or size < BLOCK and len(texts) < 512):
+                while at < batch.num_rows and (not texts or size < BLOCK and len(texts) < 128):
                     texts.append(words_of(batch.column("text")[at].as_py()))
                     size += sum(map(len, texts[-1]))
                     at += 1
                 model.learn(set().union(*texts))
                 rows = list(map(model.features, texts))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, at - start) for c in batch.schema.names if c != "text"), *(pa.array(x, pa.float64()) for x in zip(*rows))], [c for c in batch.schema.names if c != "text"] + FEATURES)
+                names = [c for c in batch.schema.names if with_text or c != "text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, at - start) for c in names), *(pa.array(x, pa.float64()) for x in zip(*rows))], names + FEATURES)
 
     return run
 
@@ -265,7 +260,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     gives an empty result; other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)))
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep) if c != text_col))
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{toxic_col}`").cast("int").alias("toxic")).dropna().where(fold() > 0)
     marks = written(marks.groupBy("id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)"), "labels")
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
@@ -281,14 +276,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     calibration = marked.where(fold() == 1).select("id", "text", "toxic").mapInArrow(_features(path), f"id {source.schema['id'].dataType.simpleString()}, toxic int, {_KINDS}")
     rows = calibration.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select("toxic", *FEATURES).toPandas()
-    features = source.mapInArrow(_features(path), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "text") + f", {_KINDS}")
+    with_text = text_col in keep
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if with_text or f.name != "text")
+    features = source.mapInArrow(_features(path, with_text), f"{kinds}, {_KINDS}")
     if rows["toxic"].nunique() < 2:
         score = F.lit(0.0)
     else:
         mean, spread, w = logistic(rows[FEATURES].to_numpy(), rows["toxic"].to_numpy(float))
         z = sum((F.col(f) - float(mean[i])) / float(spread[i]) * float(w[i]) for i, f in enumerate(FEATURES)) + float(w[-1])
         score = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))))
-    out = features.select(F.col("id").alias(id_col), (fold() == 0).alias("held_out"), score.alias("score"), *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)))
+    out = features.select(F.col("id").alias(id_col), (fold() == 0).alias("held_out"), score.alias("score"), *(F.col("text" if c == text_col else f"keep_{i}").alias(c) for i, c in enumerate(keep)))
     return out.select(id_col, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *keep)
 
 

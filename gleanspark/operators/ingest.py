@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gleanspark.functions.text import blank, index_text
 from gleanspark.operators.chunking import ChunkOptions, chunk_documents
 from gleanspark.operators.embed import Embedder
+from gleanspark.operators.numbering import numbered
 
 INLINE = "inline"
 
@@ -50,16 +51,8 @@ def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def with_ids(docs: DataFrame, above: int = 0, order: str = "import_seq") -> DataFrame:
-    """``docs`` with ids above ``above``, in the order of import and key.
-
-    Ids are gapless: rows are sorted in range partitions and each partition starts where those before it end, so
-    no single task sorts all rows.
-    """
-    sorted_ = docs.drop("id").repartitionByRange(order, "dedup_key").sortWithinPartitions(order, "dedup_key").withColumn("_p", F.spark_partition_id())
-    sorted_ = sorted_.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(order, "dedup_key")))
-    counts = sorted_.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_start")
-    return sorted_.join(F.broadcast(starts), "_p").withColumn("id", F.lit(above) + F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
+    """``docs`` with gapless ids above ``above``, in the order of import and key."""
+    return numbered(docs.drop("id"), [order, "dedup_key"], "id").withColumn("id", F.col("id") + above + 1)
 
 
 def with_source(chunks: DataFrame, docs: DataFrame) -> DataFrame:

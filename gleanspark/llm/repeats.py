@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from gleanspark.llm.shingles import mix
 from gleanspark.llm.store import plain, remove, row_key, small, written
 
-#: Bytes of the grams from which each window takes its anchor.
-GRAM = 40
+#: A window's anchor is a gram of this share of its bytes.
+GRAM = 10
 #: Windows of a long text handled at once.
 SLAB = 1 << 20
 #: Bytes that one index holds at most; a bucket with more is counted window by window. Smaller buckets share indexes of about BUNDLE bytes.
@@ -62,7 +62,7 @@ def segments(b: np.ndarray, length: int) -> list[np.ndarray]:
     A window's anchor is its gram of least hash, the leftmost of equals, so equal windows have equal anchors at
     equal places: bucket is the anchor's hash, content that of the bytes under the run's windows.
     """
-    gram, out = min(GRAM, length), []
+    gram, out = max(1, length // GRAM), []
     for base in range(0, max(0, len(b) - length + 1), SLAB):
         part = b[base : base + SLAB + length - 1]
         r = Rolling(part)

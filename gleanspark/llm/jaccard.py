@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gleanspark.llm.shingles import PLACES, Fragments, WordHashes, places, shingle_set
-from gleanspark.llm.store import components, plain, remove, row_key, small, written
+from gleanspark.llm.store import components, held, plain, remove, row_key, small, written
 
 #: Sets compared at once: a task holds two blocks of this many.
 BLOCK = 256
@@ -20,19 +20,23 @@ BUNDLE = 1500
 COLUMNS = 4096
 
 
-#: Members of a bucket that are compared with each other by bitmaps.
-COMPARED = 4096
+#: Rows of a bucket that are compared with each other by bitmaps; members of larger ones are candidates of each other without a look.
+COMPARED = 64
 #: Rows, about, from which frequent shingles are learnt, and how many of them must have one. They only save work.
 SAMPLE, OFTEN = 16_384, 3
+#: Rows of a batch that are handled at once.
+SLICE = 1000
 
 
 def _sampled(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held((), object)
         words = WordHashes()
         for batch in batches:
-            seen = [np.unique(places(shingle_set(t.as_py(), k, words))) for t in batch.column("text")]
-            place, n = np.unique(np.concatenate(seen) if seen else np.empty(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(n, pa.int64())], ["place", "n"])
+            for at in range(0, batch.num_rows, SLICE):
+                seen = [np.unique(places(shingle_set(t.as_py(), k, words))) for t in batch.column("text").slice(at, SLICE)]
+                place, n = np.unique(np.concatenate(seen), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(n, pa.int64())], ["place", "n"])
 
     return run
 
@@ -49,8 +53,9 @@ def _frequent(keyed: DataFrame, k: int) -> np.ndarray:
 
 def _sets(k: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held((), object)  # nothing of other stages is needed
         words, cut = WordHashes(), Fragments(percent, frequent.value)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             sizes, classes, sigs, bits = [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), k, words)
@@ -74,15 +79,15 @@ def bitmap(s: np.ndarray, size: int) -> np.ndarray:
 
 
 def _may(percent: int):
-    """Whether the bitmaps of two classes allow a link."""
+    """Whether two classes share a wide bucket, or their bitmaps allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             may = []
-            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "n2", "bits", "bits2"))):
+            for wide, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("wide", "n", "n2", "bits", "bits2"))):
                 width = min(len(x), len(y))
                 a, b = (np.bitwise_or.reduce(np.frombuffer(z, np.uint64).reshape(-1, width // 8), 0) for z in (x, y))
-                may.append(int(np.bitwise_count(a ^ b).sum()) * (100 + percent) <= (100 - percent) * (n + m))
+                may.append(wide or int(np.bitwise_count(a ^ b).sum()) * (100 + percent) <= (100 - percent) * (n + m))
             yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("lead"), pa.array(may, pa.bool_())], ["class", "lead", "may"])
 
     return run
@@ -92,13 +97,10 @@ def _near(percent: int):
     """Edges that join the members of each bucket as far as their bitmaps allow a link.
 
     Each bit in which two bitmaps differ is an element in which the sets differ, so too many such bits rule a link
-    out, and nothing that is linked is ever told apart. Very large buckets are joined without a look.
+    out, and nothing that is linked is ever told apart.
     """
 
     def edges(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, int]]:
-        if len(ids) > COMPARED:
-            yield from ((int(ids[0]), int(x)) for x in ids[1:])
-            return
         width = min(map(len, bits))
         folded = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), 0) for b in bits])
         words, label = folded.view(np.uint64), np.arange(len(ids))
@@ -230,14 +232,14 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
     every = written(keyed.mapInArrow(_sets(k, percent, frequent), f"id {id_type}, key long, n long, class long, bits binary, sigs array<long>"), "sets")
 
     pairs = every.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "class")
-    shared = written(pairs.groupBy("sig").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead <> last").select("sig", "lead"), "shared")
+    shared = written(pairs.groupBy("sig").agg(F.min("class").alias("lead"), F.max("class").alias("last"), F.count(F.lit(1)).alias("rows")).where("lead <> last").select("sig", "lead", (F.col("rows") > COMPARED).alias("wide")), "shared")
     members = written(pairs.join(small(shared, 2_500_000), "sig"), "members")
     info = written(every.where("bits is not null").dropDuplicates(["class"]).select("class", "n", "bits"), "bitmaps")
-    stars = members.where("class <> lead").select("class", "lead").distinct()
+    stars = members.where("class <> lead").groupBy("class", "lead").agg(F.max("wide").alias("wide"))
     stars = stars.join(info, "class").join(info.select(F.col("class").alias("lead"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "lead")
     stars = written(stars.mapInArrow(_may(percent), "class long, lead long, may boolean"), "stars")
     # where a member can't be linked to its bucket's first, any two of the members may be
-    apart = written(members.join(small(written(stars.where("not may").select("class", "lead"), "apart")), ["class", "lead"]).select("sig").distinct(), "buckets")
+    apart = written(members.where("not wide").join(small(written(stars.where("not may").select("class", "lead"), "apart")), ["class", "lead"]).select("sig").distinct(), "buckets")
     split = written(members.join(small(apart), "sig").select("sig", "class"), "split")
     tasks = max(1, split.count() // 20_000)
     split = split.join(info, "class").withColumn("task", F.pmod(F.xxhash64("sig"), F.lit(tasks)))

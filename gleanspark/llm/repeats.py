@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gleanspark.llm.shingles import mix
-from gleanspark.llm.store import plain, remove, row_key, small, written
+from gleanspark.llm.store import held, plain, remove, row_key, small, written
 
 #: A window's anchor is a gram of this share of its bytes.
 GRAM = 10
@@ -188,7 +188,8 @@ def _bytes(text: str | None) -> bytes:
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held((), object)  # nothing of other stages is needed
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             sizes, digests, found = [], [], []
             for text in batch.column("text"):
                 b = _bytes(text.as_py())

@@ -17,7 +17,7 @@ STEPS = 3
 class WordHashes(dict):
     """64-bit hashes of words (UTF-8); emptied when it holds too many."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -15,14 +15,14 @@ STEPS = 3
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (UTF-8); emptied when it holds too many."""
+    """64-bit hashes of words, as UTF-8 or text; emptied when it holds too many."""
 
     LIMIT = 150_000
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass") if isinstance(word, str) else word)
         return value
 
 

@@ -9,9 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gleanspark.llm.shingles import WordHashes, mix
 from gleanspark.llm.store import held, new_path, plain, track, written
 
 #: Characters of context at a word's start, where stems are, and inside it; what each seen sequence's count gives up for the unseen.
@@ -40,8 +40,12 @@ def grams(word: str) -> list[tuple[str, str]]:
 
     The context is all that precedes, up to PREFIX characters, then the last CONTEXT ones.
     """
-    w = f"^{word}$"
-    return [(w[:i] if i <= PREFIX else w[i - CONTEXT : i], w[i]) for i in range(1, len(w))]
+    return list(zip(contexts_of(word), f"{word}$"))
+
+
+def contexts_of(word: str) -> list[str]:
+    w = f"^{word}"
+    return [w[:i] for i in range(1, min(PREFIX, len(w)) + 1)] + [w[i - CONTEXT : i] for i in range(PREFIX + 1, len(w) + 1)]
 
 
 def _tail() -> Column:
@@ -159,15 +163,16 @@ class Model:
     def learn(self, words: set[str]) -> None:
         """Remembers the ratios of ``words``: summed over their characters, an unseen one taking its context's."""
         new = [w for w in words if w not in self.words]
-        if len(self.words) > 200_000:
+        if len(self.words) > 300_000:
             self.words.clear()
             self.best.clear()
             new = list(words)
         if not new:
             return
-        pairs = [grams(w) for w in new]
-        full = np.array([key_of(c + x) for g in pairs for c, x in g], np.int64)
-        short = np.array([key_of(c + "\x00") for g in pairs for c, _ in g], np.int64)
+        contexts = np.fromiter((CONTEXT_HASHES[c] for w in new for c in contexts_of(w)), np.uint64)
+        sizes = np.fromiter(map(len, new), np.int64, len(new)) + 1
+        chars = np.frombuffer(("$".join(new) + "$").encode("utf-32-le", "surrogatepass"), np.uint32)
+        full, short = keys_of(contexts, chars), keys_of(contexts, np.full(len(chars), UNSEEN, np.uint32))
         wanted, back = np.unique(np.concatenate([full, short]), return_inverse=True)
         values = np.full(len(wanted), np.nan, np.float64)
         for keys, ratios in self.kept if self.kept is not None else self.parts():
@@ -178,7 +183,7 @@ class Model:
         known, context = values[back[: len(full)]], values[back[len(full) :]]
         llr = np.where(np.isnan(known), np.where(np.isnan(context), 0.0, context), known)
         sums = np.r_[0.0, np.cumsum(llr)]
-        ends = np.cumsum([0, *map(len, pairs)])
+        ends = np.r_[0, np.cumsum(sizes)]
         whole = sums[ends[1:]] - sums[ends[:-1]]
         # the best run of characters: sums less the least sum before them in the word, the words kept apart by far shifts
         shift = np.repeat(np.arange(len(new)) * -1e4, np.diff(ends))
@@ -197,14 +202,22 @@ class Model:
         return math.fsum(map(self.words.__getitem__, words)) / size, float(top.max()), float(top.sum() / 3), math.log(len(words)), float(np.clip(best - NOISE, 0, NOISE).mean())
 
 
-def key_of(gram: str) -> int:
-    return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass")) - 2**63
+#: Stands for all characters unseen after a context.
+UNSEEN = 0x110000
+#: Hashes of contexts, which recur in most words.
+CONTEXT_HASHES = WordHashes()
+
+
+def keys_of(contexts: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Keys of (hash of context, character)."""
+    return mix(contexts + chars.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [key_of(c + ("\x00" if x is None else x)) for c, x in zip(batch.column("context").to_pylist(), batch.column("char").to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("llr").cast(pa.float32())], ["key", "llr"])
+        contexts = np.fromiter((CONTEXT_HASHES[c] for c in batch.column("context").to_pylist()), np.uint64, batch.num_rows)
+        chars = np.fromiter((UNSEEN if x is None else ord(x) for x in batch.column("char").to_pylist()), np.uint32, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(keys_of(contexts, chars)), batch.column("llr").cast(pa.float32())], ["key", "llr"])
 
 
 def _features(path: str, with_text: bool = False):

@@ -485,7 +485,7 @@ def test_kneser_ney_sums_to_one(spark):
 
 def test_large_models_are_read_in_parts(spark, tmp_path, monkeypatch):
     grams = [("^ab", "c", 0.5), ("^", "a", 0.25), ("^a", None, -1.0)]
-    df = spark.createDataFrame([(toxicity.key_of(c + (x or "\0")), v) for c, x, v in grams], "key long, llr float")
+    df = spark.createDataFrame([(int(toxicity.keys_of(np.array([toxicity.CONTEXT_HASHES[c]], np.uint64), np.array([ord(x) if x else toxicity.UNSEEN], np.uint32))[0]), v) for c, x, v in grams], "key long, llr float")
     df.repartitionByRange(2, "key").sortWithinPartitions("key").write.parquet(str(tmp_path / "m"))
     for kept in (10, 0):
         monkeypatch.setattr(toxicity, "KEPT_ENTRIES", kept)

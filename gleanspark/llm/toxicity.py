@@ -163,7 +163,7 @@ class Model:
     def learn(self, words: set[str]) -> None:
         """Remembers the ratios of ``words``: summed over their characters, an unseen one taking its context's."""
         new = [w for w in words if w not in self.words]
-        if len(self.words) > 300_000:
+        if len(self.words) > 450_000:
             self.words.clear()
             self.best.clear()
             new = list(words)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gleanspark.llm.shingles import PLACES, Fragments, WordHashes, places, shingle_set
-from gleanspark.llm.store import components, held, plain, remove, row_key, small, written
+from gleanspark.llm.store import KEY, components, held, plain, remove, row_key, small, written
 
 #: Sets compared at once: a task holds two blocks of this many.
 BLOCK = 256
@@ -232,11 +232,11 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
     keyed = source.select("id", row_key("id", "text").alias("key"), "text")
     id_type = source.schema["id"].dataType.simpleString()
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(keyed, k))
-    every = written(keyed.mapInArrow(_sets(k, percent, frequent), f"id {id_type}, key long, n long, class long, bits binary, sigs array<long>"), "sets")
+    every = written(keyed.mapInArrow(_sets(k, percent, frequent), f"id {id_type}, key {KEY}, n long, class long, bits binary, sigs array<long>"), "sets")
 
     pairs = every.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "class")
     shared = written(pairs.groupBy("sig").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead <> last").select("sig", "lead"), "shared")
-    members = written(pairs.join(small(shared, 2_500_000), "sig"), "members")
+    members = written(pairs.join(small(shared), "sig"), "members")
     info = written(every.where("bits is not null").dropDuplicates(["class"]).select("class", "n", "bits"), "bitmaps")
     stars = members.where("class <> lead").select("class", "lead").distinct()
     stars = stars.join(info, "class").join(info.select(F.col("class").alias("lead"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "lead")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleanspark.llm.store import held, plain, ranked, row_key, written
+from gleanspark.llm.store import KEY, held, plain, ranked, row_key, written
 
 #: The token after each document.
 END = 1
@@ -255,7 +255,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", t
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     keyed = source.select("id", row_key("id", "text").alias("key"), "text")
-    pieces = written(keyed.mapInArrow(_pieces(path, size), f"id {id_type}, key long, start long, length long, crc long, crc_first long, crc_rest long, doc_tokens long"), "pieces")
+    pieces = written(keyed.mapInArrow(_pieces(path, size), f"id {id_type}, key {KEY}, start long, length long, crc long, crc_first long, crc_rest long, doc_tokens long"), "pieces")
     short, full = pieces.where(F.col("length") < size), pieces.where(F.col("length") == size)
     counts = {r["length"]: r["count"] for r in short.groupBy("length").count().collect()}
     halved, plan = cutting_stock(counts, size) if counts else ({}, [])

@@ -10,14 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gleanspark.llm.shingles import mix
-from gleanspark.llm.store import held, plain, remove, row_key, small, written
+from gleanspark.llm.store import KEY, held, plain, remove, row_key, small, unused, written
 
 #: A window's anchor is a gram of this share of its bytes.
 GRAM = 10
-#: Windows of a long text handled at once.
-SLAB = 1 << 20
-#: Bytes that one index holds at most; a bucket with more is counted window by window. Smaller buckets share indexes of about BUNDLE bytes.
-INDEX_BYTES, BUNDLE = 4 << 20, 1 << 20
+#: Windows handled at once, of one long text or many short ones.
+SLAB = 1 << 18
+#: Bytes that the pieces of one bucket may have; a bucket with more is split. Smaller buckets share indexes of about as many bytes.
+INDEX_BYTES = 1 << 20
+#: Symbols that an index can hold.
+MOST_SYMBOLS = 1 << 21
+#: A passage of more than fifty words has at least so many bytes.
+PASSAGE = 250
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -42,9 +46,14 @@ class Rolling:
         self.sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_VALUES[b] * up[: len(b)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def of(self, start, end) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
+    def grams(self, size: int) -> np.ndarray:
+        """The hashes of all substrings of ``size`` bytes."""
+        n = len(self.sums) - size
+        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n])
+
 
 def _least(v: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` values in a row."""
@@ -56,53 +65,92 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def segments(b: np.ndarray, length: int) -> list[np.ndarray]:
-    """Cuts the starts of all ``length``-byte windows into runs with one anchor: first start, number, bucket, content.
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
+
+
+def _placed(hashes: np.ndarray) -> np.ndarray:
+    """Hashes that can be told apart by place, smaller ones first, the leftmost of equals."""
+    return (hashes & _HIGH) | np.arange(len(hashes), dtype=np.uint64)
+
+
+def segments(texts: list[bytes], length: int, wide: int | None = None, slab: int = SLAB) -> list[np.ndarray]:
+    """Cuts the starts of all ``length``-byte windows into runs with one anchor: text, first start, number, size, bucket, content.
 
     A window's anchor is its gram of least hash, the leftmost of equals, so equal windows have equal anchors at
-    equal places: bucket is the anchor's hash, content that of the bytes under the run's windows.
+    equal places: bucket is the anchor's hash. A run's piece are the bytes from its first start to ``wide`` bytes
+    after its last one, or to the text's end: size of them, which content is the hash of.
     """
-    gram, out = max(1, length // GRAM), []
-    for base in range(0, max(0, len(b) - length + 1), SLAB):
-        part = b[base : base + SLAB + length - 1]
-        r = Rolling(part)
-        at = np.arange(len(part) - gram + 1)
-        hashes = r.of(at, at + gram)
-        anchor = _least((hashes & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - gram + 1) & np.uint64(0xFFFFFFFF)
-        lo = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        n = np.diff(np.r_[lo, len(anchor)])
-        place = anchor[lo].astype(np.int64)
-        content = mix(r.of(lo, lo + n - 1 + length) + ((n << 32) + (place - lo)).astype(np.uint64))
-        out.append((lo + base, n, hashes[place].view(np.int64), content.view(np.int64)))
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 4
+    wide, gram = max(wide or length, length), max(1, length // GRAM)
+    parts: list[tuple[int, int, bytes]] = []
+    for i, b in enumerate(texts):
+        parts += [(i, base, b[base : base + slab + wide - 1]) for base in range(0, max(0, len(b) - length + 1), slab)]
+    out: list[tuple] = []
+    at = 0
+    while at < len(parts):
+        group, total = [], 0
+        while at < len(parts) and (not group or total + len(parts[at][2]) <= slab):
+            group.append(parts[at])
+            total += len(parts[at][2])
+            at += 1
+        sizes = np.fromiter((len(p[2]) for p in group), np.int64, len(group))
+        ends = np.cumsum(sizes)
+        r = Rolling(np.frombuffer(b"".join(p[2] for p in group), np.uint8))
+        hashes = r.grams(gram)
+        anchor = (_least(_placed(hashes), length - gram + 1) & _LOW).astype(np.int64)
+        part = np.repeat(np.arange(len(group)), sizes)[: len(anchor)]
+        inside = np.arange(len(anchor)) <= np.minimum(ends[part] - length, ends[part] - sizes[part] + slab - 1)
+        fresh = inside & np.r_[True, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])]
+        lo = np.flatnonzero(fresh)
+        n = np.add.reduceat(inside.astype(np.int64), lo) if len(lo) else np.empty(0, np.int64)
+        whose = part[lo]
+        size = np.minimum(lo + n - 1 + wide, ends[whose]) - lo
+        place = anchor[lo]
+        content = mix(r.of(lo, lo + size) + ((n << 40) + (size << 20) + (place - lo)).astype(np.uint64))
+        base = np.fromiter((p[1] for p in group), np.int64, len(group)) - (ends - sizes)
+        text = np.fromiter((p[0] for p in group), np.int64, len(group))
+        out.append((text[whose], lo + base[whose], n, size, hashes[place].view(np.int64), content.view(np.int64)))
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 6
 
 
 def suffix_array(x: np.ndarray, sep: np.ndarray) -> np.ndarray:
     """Suffixes of the bytes ``x`` in order; True in ``sep`` marks separators, each unlike any other, the last at the end.
 
-    Prefix doubling from 7 symbols on; only suffixes that still share a place with another are sorted again.
+    Prefix doubling; only suffixes that still share a place with another are sorted again, as numbers that hold
+    their key and their place.
     """
-    n, width = len(x), 7
+    n = len(x)
+    bits = n.bit_length()
+    code = np.zeros(256, np.int64)
+    code[np.unique(x)] = 1
+    code = np.cumsum(code) * code
+    step = int(code.max()).bit_length()
+    width = max(1, (63 - bits) // step)
+    mask = (1 << bits) - 1
     symbols = np.zeros(n + width, np.int64)
-    symbols[:n] = np.where(sep, 0, x.astype(np.int64) + 1)
+    symbols[:n] = np.where(sep, 0, code[x])
     key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
     for j in range(width):
         part = symbols[j : j + n]
         open_ &= part > 0
-        key = (key << 9) | np.where(open_, part, 0)
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
+        key <<= step
+        key |= np.where(open_, part, 0)
+    del symbols, part
+    key <<= bits
+    key |= np.arange(n)
+    key.sort()
+    order = (key & mask).astype(np.int32)
+    key >>= bits
     # a suffix that meets its separator has its place: after the earlier ones like it
-    head = np.r_[True, (sorted_key[1:] != sorted_key[:-1]) | ~open_[order][1:]]
-    place = np.arange(n)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, place, 0))
-    alone = head & np.r_[head[1:], True]
-    left = order[~alone]  # in order of their groups
+    head = np.r_[True, (key[1:] != key[:-1]) | ~open_[order[1:]]]
+    del key, open_
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0))
+    left = order[~(head & np.r_[head[1:], True])].astype(np.int64)  # in order of their groups
     while len(left):
-        key = (rank[left] << 32) | rank[left + width]
-        left = left[np.argsort(key, kind="stable")]
-        first, second = rank[left], rank[left + width]
+        key = (rank[left].astype(np.int64) << 2 * bits) | (rank[left + width].astype(np.int64) << bits) | left
+        key.sort()
+        left = key & mask
+        first, second = key >> 2 * bits, (key >> bits) & mask
         new_group = np.r_[True, first[1:] != first[:-1]]
         new_head = new_group | np.r_[True, second[1:] != second[:-1]]
         i = np.arange(len(left))
@@ -117,182 +165,279 @@ def suffix_array(x: np.ndarray, sep: np.ndarray) -> np.ndarray:
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of many strings, with the suffixes at the ends of its runs.
 
-    ``matches`` streams matching statistics of the strings against all the others (and their own other places).
+    Symbols and lengths of the runs are kept, and for each border between two runs the suffixes on both sides and
+    how much they have in common. Nothing else outlives the building: the suffix array goes.
+
+    In the order of suffixes the best match of a suffix is a neighbour. Inside a run, the neighbour is one place on
+    from that of the suffix one byte before, and the match one byte shorter; so the samples at the ends of runs give
+    the matching statistics of all places, streamed in the order of the strings.
     """
 
     def __init__(self, strings: list[np.ndarray]):
         ends = np.cumsum([len(s) + 1 for s in strings])
-        self.starts = np.r_[0, ends[:-1]]
-        self.n = int(ends[-1])
-        text = np.zeros(self.n, np.uint8)
-        self.sep = np.zeros(self.n, bool)
-        self.sep[ends - 1] = True
-        text[~self.sep] = np.concatenate(strings)
-        self.text = text
-        self.room = np.repeat(ends - 1, np.diff(np.r_[0, ends])) - np.arange(self.n)  # bytes up to the separator
-        suffixes = suffix_array(text, self.sep)
+        self.starts, self.n = np.r_[0, ends[:-1]], int(ends[-1])
+        if self.n > MOST_SYMBOLS:
+            raise ValueError(f"an index holds {MOST_SYMBOLS} symbols, not {self.n}")
+        text, sep = np.zeros(self.n + 8, np.uint8), np.zeros(self.n, bool)
+        sep[ends - 1] = True
+        text[: self.n][~sep] = np.concatenate(strings)
+        suffixes = suffix_array(text[: self.n], sep)
         before = suffixes - 1
         bwt = text[before].astype(np.int16)
-        bwt[self.sep[before]] = -1
-        edge = np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] < 0)) + 1
-        #: Symbols and lengths of the runs, and the sampled suffixes at their first and last rows.
-        self.symbols, self.lengths = bwt[np.r_[0, edge]], np.diff(np.r_[0, edge, self.n])
-        self.last, self.first = suffixes[edge - 1], suffixes[edge]
-
-    def _common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        bwt[before < 0] = -1
+        bwt[sep[before]] = -1
+        del before
+        tops = np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] < 0)) + 1
+        #: Symbols (-1: the start of a string) and lengths of the runs.
+        self.symbols, self.lengths = bwt[np.r_[0, tops]], np.diff(np.r_[0, tops, self.n])
+        del bwt
+        tops = np.cumsum(self.lengths)[:-1]
+        above, below = suffixes[tops - 1].astype(np.int64), suffixes[tops].astype(np.int64)
+        del suffixes
+        common = self._common(text, ends - 1, above, below)
+        places, values = np.concatenate([above, below]), np.concatenate([common, common])
+        order = np.argsort(places, kind="stable")
+        #: Samples in the order of the strings: a place, and how long it matches another one.
+        self.places, self.values = places[order], values[order]
+
+    def _common(self, text: np.ndarray, ends: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Lengths of the longest common prefixes of the suffixes at p and q, inside their strings."""
-        padded = np.concatenate([self.text, np.zeros(8, np.uint8)])
-        words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: self.n + 1]
-        words = np.ascontiguousarray(words).view(np.uint64).ravel()
-        most = np.minimum(self.room[p], self.room[q])
+        most = np.minimum(*(ends[np.searchsorted(ends, x)] - x for x in (p, q)))
         out = np.zeros(len(p), np.int64)
         live = np.flatnonzero(most > 0)
+        step = np.arange(8)
         while len(live):
-            differ = words[p[live] + out[live]] ^ words[q[live] + out[live]]
+            at = out[live]
+            a, b = (text[(x[live] + at)[:, None] + step].view(np.uint64).ravel() for x in (p, q))
+            differ = a ^ b
             same = np.full(len(live), 8)
             odd = np.flatnonzero(differ)
             low = differ[odd] & (~differ[odd] + np.uint64(1))
             same[odd] = np.log2(low.astype(np.float64)).astype(np.int64) >> 3
-            out[live] += same
+            out[live] = at + same
             live = live[(same == 8) & (out[live] < most[live])]
         return np.minimum(out, most)
 
-    def matches(self) -> np.ndarray:
-        """For each byte, how long a string that starts there also starts at another place.
-
-        In the order of suffixes the best match is a neighbour. Unless a suffix is at the edge of a run, the
-        neighbour is one place on from that of the suffix one byte before, and the match one byte shorter; at
-        edges the sampled neighbours are compared.
-        """
-        common, at = self._common(self.first, self.last), np.arange(self.n)
-        best = np.zeros(self.n, np.int64)
-        for sampled in (self.first, self.last):
-            value = np.zeros(self.n, np.int64)
-            value[sampled] = common
-            known = np.zeros(self.n, bool)
-            known[sampled] = True
-            source = np.maximum.accumulate(np.where(known | self.sep, at, 0))
-            np.maximum(best, value[source] - (at - source), out=best)
-        return best
-
-
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of the runs of True."""
-    edges = np.flatnonzero(np.diff(np.r_[0, flags.view(np.int8), 0]))
-    return edges[::2], edges[1::2]
+    def statistics(self, block: int = 1 << 16) -> Iterator[np.ndarray]:
+        """For each place, in order and in blocks, how long a string that starts there also starts at another place."""
+        reach = np.maximum.accumulate(self.places + self.values) if len(self.places) else self.places
+        for base in range(0, self.n, block):
+            at = np.arange(base, min(base + block, self.n))
+            i = np.searchsorted(self.places, at, "right") - 1
+            yield np.maximum(np.where(i >= 0, reach[i], 0) - at, 0)
+
+    def matches(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the string, first and last + 1 of each run of places whose matching statistic is at least ``length``."""
+        long = self.values >= length
+        a = self.places[long]
+        b = np.maximum.accumulate(a + self.values[long] - length + 1) if len(a) else a
+        fresh = np.flatnonzero(np.r_[True, a[1:] > b[:-1]]) if len(a) else np.empty(0, np.int64)
+        a, b = a[fresh], b[np.r_[fresh[1:], len(b)] - 1] if len(a) else b
+        whose = np.searchsorted(self.starts, a, "right") - 1
+        return whose, a - self.starts[whose], b - self.starts[whose]
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _cut(length: int):
+_LISTS = {"lo": pa.int32(), "n": pa.int32(), "size": pa.int32(), "bucket": pa.int64(), "content": pa.int64()}
+
+
+def _cut(length: int, wide: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held((), object)  # nothing of other stages is needed
-        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            sizes, digests, found = [], [], []
-            for text in batch.column("text"):
-                b = _bytes(text.as_py())
-                sizes.append(len(b))
-                digests.append(hashlib.sha256(b).digest())
-                found.append(segments(np.frombuffer(b, np.uint8), length))
-            ends = pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[i] for f in found]) if found else [], kind)) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists], ["id", "key", "n_bytes", "digest", "lo", "n", "bucket", "content"])
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            texts = [_bytes(t.as_py()) for t in batch.column("text")]
+            whose, *found = segments(texts, length, wide)
+            ends = pa.array(np.searchsorted(whose, np.arange(len(texts) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in zip(found, _LISTS.values())]
+            digests = pa.array([hashlib.sha256(b).digest() for b in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(list(map(len, texts)), pa.int64()), digests, *lists], ["id", "key", "n_bytes", "digest", *_LISTS])
+
+    return run
+
+
+_PIECES = {"bucket": pa.int64(), "content": pa.int64(), "copies": pa.int64(), "n": pa.int32(), "piece": pa.binary()}
+_PARTS = _PIECES | {"home": pa.int64(), "whole": pa.int64(), "base": pa.int32()}
+_PIECE_KINDS = "bucket long, content long, copies long, n int, piece binary"
+_PART_KINDS = f"{_PIECE_KINDS}, home long, whole long, base int"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text, wanted in zip(batch.column("text"), batch.column("wanted")):
+            b = _bytes(text.as_py())
+            bucket, content, copies, lo, n, size = wanted.values.flatten()
+            piece = pa.array([b[x : x + y] for x, y in zip(lo.to_pylist(), size.to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([bucket, content, copies, n, piece], list(_PIECES))
+
+
+def _word(x: np.ndarray) -> int:
+    return int(x.view(np.int64)[0])
+
+
+def _split(length: int, wide: int, step: int):
+    """Deals the windows of each piece by the distance to their anchor, ``step`` distances together, into pieces of their own.
+
+    All windows of such a piece hold the bytes that the farthest two of them share, so these name its bucket.
+    """
+    gram = max(1, length // GRAM)
+
+    def parts(bucket: int, content: int, copies: int, n: int, piece: bytes) -> Iterator[tuple]:
+        r = Rolling(np.frombuffer(piece, np.uint8))
+        place, first = int(np.argmin(_placed(r.grams(gram)[: length - gram + 1]))), 0
+        seed = np.array([bucket], np.int64).view(np.uint64)
+        while first < n:
+            j = (place - first) // step
+            last = min(place - j * step, n - 1)
+            end = min(last + wide, len(piece))
+            shared = r.of(np.array([place - j * step]), np.array([place - (j + 1) * step + 1 + length]))
+            form = np.array([(last - first << 40) + (end - first << 20) + place - first], np.uint64)
+            own = r.of(np.array([first]), np.array([end]))
+            yield _word(mix(shared + mix(seed + np.uint64(j)))), _word(mix(own + form)), copies, last - first + 1, piece[first:end], bucket, content, first
+            first = last + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for row in zip(*(batch.column(c).to_pylist() for c in _PIECES)) for x in parts(*row)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(_PARTS), _PARTS.values())], list(_PARTS))
 
     return run
 
 
-def _pieces(length: int):
+def _dealt(index_bytes: int):
+    """Deals pieces that all hold one window over as many buckets as they need; the one of least content goes to all, so that none is alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, wanted in zip(batch.column("text"), batch.column("wanted")):
-                b, wanted = _bytes(text.as_py()), wanted.as_py()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([w["bucket"] for w in wanted], pa.int64()), pa.array([w["content"] for w in wanted], pa.int64()),
-                    pa.array([b[w["lo"] : w["lo"] + w["n"] - 1 + length] for w in wanted], pa.binary()),
-                ], ["bucket", "content", "piece"])
+            rows = []
+            for bucket, content, copies, n, piece, size, least in zip(*(batch.column(c).to_pylist() for c in [*_PIECES, "bytes", "least"])):
+                blocks = -(-size // max(index_bytes, 1 << 16))
+                seed = np.array([bucket], np.int64).view(np.uint64)
+                for block in range(blocks) if content == least else (content % blocks,):
+                    rows.append((_word(mix(seed + np.uint64(block))), content, copies, n, piece, bucket, content, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(_PARTS), _PARTS.values())], list(_PARTS))
 
     return run
 
 
-_FOUND = "bucket long, content long, ranges array<struct<a:int,b:int>>"
-_RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_MARKS = pa.list_(pa.struct([("k", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
+_FOUND = "bucket long, content long, marks array<struct<k:int,a:int,b:int>>"
+
+
+def _index(lengths: tuple[int, ...]):
+    """Marks the starts of repeated windows of each length (k: its number) in the pieces of whole buckets."""
 
+    def marks(pieces: list[np.ndarray], n: np.ndarray, copies: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        # beyond its own windows a piece has no place with so many bytes left: no window is there twice
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        rows = np.flatnonzero(sizes >= lengths[k])
+        if not len(rows):
+            return (np.empty(0, np.int64),) * 3
+        whose, a, b = RunIndex([pieces[i][: n[i] - 1 + lengths[k]] for i in rows]).matches(lengths[k])
+        many = rows[copies[rows] > 1]
+        return np.r_[rows[whose], many], np.r_[a, np.zeros(len(many), np.int64)], np.r_[b, np.minimum(n[many], sizes[many] - lengths[k] + 1)]
 
-def _index(length: int):
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket").combine_chunks()
+        bucket, n, copies = (table.column(c).to_numpy() for c in ("bucket", "n", "copies"))
         pieces = [np.frombuffer(p.as_py(), np.uint8) for p in table.column("piece")]
-        index = RunIndex(pieces)
-        long = index.matches() >= length
-        rows, ranges = [], []
-        for i, (start, piece) in enumerate(zip(index.starts, pieces)):
-            a, b = _runs(long[start : start + len(piece)])
-            if len(a):
-                rows.append(i)
-                ranges.append([{"a": x, "b": y} for x, y in zip(a.tolist(), b.tolist())])
-        out = table.select(["bucket", "content"]).take(pa.array(rows, pa.int64()))
-        return out.append_column("ranges", pa.array(ranges, _RANGES))
+        ends = np.cumsum(np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces)))
+        edges = [*(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)]
+        found, start = [], 0
+        for edge, after in zip(edges, [*edges[1:], None]):
+            # as many whole buckets as fit into one index
+            if after is None or ends[after - 1] - (ends[start - 1] if start else 0) > MOST_SYMBOLS:
+                for k in range(len(lengths)):
+                    row, a, b = marks(pieces[start:edge], n[start:edge], copies[start:edge], k)
+                    found.append((row + start, np.full(len(row), k), a, b))
+                start = edge
+        row, *values = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(row, kind="stable")
+        rows, at = np.unique(row[order], return_index=True)
+        struct = pa.StructArray.from_arrays([pa.array(v[order], pa.int32()) for v in values], ["k", "a", "b"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(row)], pa.int32()), struct)
+        return table.select(["bucket", "content"]).take(pa.array(rows)).append_column("marks", lists.cast(_MARKS))
 
     return run
 
 
-def _windows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, piece in enumerate(batch.column("piece")):
-                b = np.frombuffer(piece.as_py(), np.uint8)
-                at = np.arange(len(b) - length + 1)
-                same = [pa.array(np.full(len(at), batch.column(c)[i].as_py()), pa.int64()) for c in ("bucket", "content")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(at, pa.int32()), pa.array(Rolling(b).of(at, at + length).view(np.int64))], ["bucket", "content", "at", "window"])
+def _found(pieces: DataFrame, lengths: tuple[int, ...], index_bytes: int) -> DataFrame:
+    """(home, whole, marks) of ``pieces``, a written table that has each (bucket, content) once.
 
-    return run
+    A bucket whose pieces are too many bytes for one index is split by what its windows share: half as many
+    distances to the anchor go together each time, until what meets fits or is the same window throughout.
+    """
+    length, wide = lengths[0], lengths[-1]
+    level, homes, out = pieces, None, None
+    step = length - max(1, length // GRAM) + 1
+    while True:
+        sizes = written(level.groupBy("bucket").agg(F.sum(F.length("piece") + 1).alias("bytes"), F.min("content").alias("least")), "sizes")
+        n_large, total = sizes.agg(F.count_if(F.col("bytes") > index_bytes), F.sum("bytes")).first()
+        large = sizes.where(F.col("bytes") > index_bytes)
+        last = not n_large or step < 0
+        fits = level if last else level.join(small(large.select("bucket")), "bucket", "left_anti")
+        tasks = max(1, -(-(total or 0) // index_bytes))
+        found = fits.withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).groupBy("task").applyInArrow(_index(lengths), _FOUND)
+        if homes is None:
+            found = found.select(F.col("bucket").alias("home"), F.col("content").alias("whole"), "marks")
+        else:
+            found = found.join(homes, ["bucket", "content"])
+            found = found.select("home", "whole", F.transform("marks", lambda m: F.struct(m["k"].alias("k"), (m["a"] + F.col("base")).alias("a"), (m["b"] + F.col("base")).alias("b"))).alias("marks"))
+        found = written(found, "found")
+        out = found if out is None else out.union(found)
+        if last:
+            return out
+        joined, step = level.join(small(large), "bucket"), step // 2 if step > 1 else step - 1
+        parts = joined.drop("bytes", "least").mapInArrow(_split(length, wide, step), _PART_KINDS) if step > 0 else joined.mapInArrow(_dealt(index_bytes), _PART_KINDS)
+        step = step or -1
+        parts = written(parts, "parts")
+        new = parts.select("bucket", "content", F.col("home").alias("b"), F.col("whole").alias("c"), F.col("base").alias("at"))
+        if homes is None:
+            homes = new.select("bucket", "content", F.col("b").alias("home"), F.col("c").alias("whole"), F.col("at").alias("base"))
+        else:
+            old = homes.select(F.col("bucket").alias("b"), F.col("content").alias("c"), "home", "whole", "base")
+            homes = new.join(old, ["b", "c"]).select("bucket", "content", "home", "whole", (F.col("base") + F.col("at")).alias("base"))
+        homes = written(homes, "homes")
+        level = written(parts.groupBy("bucket", "content").agg(F.sum("copies").alias("copies"), F.first("n").alias("n"), F.first("piece").alias("piece")), "pieces")
 
 
-def _marked(docs: DataFrame, length: int, index_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Digests of all rows (id, key, n_bytes, digest), and the rows with repeats (key, text, ranges of window starts)."""
+def _marked(docs: DataFrame, lengths: tuple[int, ...], index_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Digests of all rows (id, key, n_bytes, digest), and the rows with repeats (key, text, marks of window starts)."""
     id_type = docs.schema["id"].dataType.simpleString()
     keyed = docs.select("id", row_key("id", "text").alias("key"), "text")
-    every = written(keyed.mapInArrow(_cut(length), f"id {id_type}, key long, n_bytes long, digest binary, lo array<int>, n array<int>, bucket array<long>, content array<long>"), "segments")
+    lists = ", ".join(f"{c} array<{'int' if k == pa.int32() else 'long'}>" for c, k in _LISTS.items())
+    every = written(keyed.mapInArrow(_cut(lengths[0], lengths[-1]), f"id {id_type}, key {KEY}, n_bytes long, digest binary, {lists}"), "segments")
 
-    cuts = every.where(F.size("lo") > 0).select("key", F.explode(F.arrays_zip("lo", "n", "bucket", "content")).alias("s")).select("key", "s.*")
-    shared = cuts.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("rows > 1")
-    hits = written(cuts.join(shared.select("bucket", (F.col("c0") != F.col("c1")).alias("mixed")), "bucket"), "hits")
+    cuts = every.where(F.size("lo") > 0).select("key", F.explode(F.arrays_zip(*_LISTS)).alias("s")).select("key", "s.*")
+    # a bucket that many segments share is summed up before it is shuffled, and split where it is joined
+    shared = written(cuts.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("bucket"), "shared")
+    hits = written(cuts.join(small(shared), "bucket"), "hits")
+    kinds = hits.groupBy("bucket", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "lo", "n", "size")).alias("one"))
+    wanted = kinds.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("bucket", "content", "copies", "one.lo", "one.n", "one.size")).alias("wanted"))
 
-    kinds = hits.groupBy("bucket", "content", "mixed").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("key", "lo", "n")).alias("one"))
-    kinds = written(kinds.select("bucket", "content", "mixed", "rows", F.col("one.key").alias("key"), F.col("one.lo").alias("lo"), F.col("one.n").alias("n")), "kinds")
     texts = keyed.select("key", "text").join(small(written(hits.select("key").distinct(), "keys")), "key")
-    texts = written(texts.dropDuplicates(["key"]), "texts")
-
-    wanted = kinds.where("mixed").groupBy("key").agg(F.collect_list(F.struct("bucket", "content", "lo", "n")).alias("wanted"))
-    pieces = written(texts.join(wanted, "key").select("text", "wanted").mapInArrow(_pieces(length), "bucket long, content long, piece binary"), "pieces")
-    sizes = pieces.groupBy("bucket").agg(F.sum(F.length("piece") + 1).alias("bytes"))
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    tasks = max(1, -(-total // min(BUNDLE, index_bytes)))
-    sized = pieces.join(sizes, "bucket")
-    fits = sized.where(F.col("bytes") <= index_bytes).withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
-    found = fits.drop("bytes").groupBy("task").applyInArrow(_index(length), _FOUND)
-    large = sized.where(F.col("bytes") > index_bytes)
-    if large.limit(1).count():
-        windows = written(large.select("bucket", "content", "piece").mapInArrow(_windows(length), "bucket long, content long, at int, window long"), "windows")
-        twice = windows.groupBy("bucket", "window").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        found = found.union(windows.join(twice, ["bucket", "window"]).groupBy("bucket", "content").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("ranges")))
-    found = written(found, "found")
-
-    whole = kinds.where("rows > 1").select("bucket", "content", F.lit(True).alias("whole"))
-    status = whole.join(found, ["bucket", "content"], "full")
-    spans = hits.join(status, ["bucket", "content"])
-    spans = spans.select("key", F.when(F.col("whole"), F.array(F.struct(F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b")))).otherwise(F.transform("ranges", lambda r: F.struct((r["a"] + F.col("lo")).alias("a"), (r["b"] + F.col("lo")).alias("b")))).alias("ranges"))
-    ranges = written(spans.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
-    for done in (hits, kinds, pieces, found):
-        remove(done)
-    return every.select("id", "key", "n_bytes", "digest"), texts.join(ranges, "key")
-
-
-def byte_spans(ranges: list[dict], length: int) -> list[tuple[int, int]]:
+    twice = written(every.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), "twice")
+    if twice.limit(1).count():  # equal rows are one here
+        texts = texts.join(small(twice), "key", "left_anti").union(texts.join(small(twice), "key").dropDuplicates(["key"]))
+    texts = written(texts, "texts")
+    pieces = written(texts.join(wanted, "key").select("text", "wanted").mapInArrow(_pieces, _PIECE_KINDS), "pieces")
+    found = _found(pieces, lengths, index_bytes)
+    remove(pieces)
+
+    spans = hits.select("key", "lo", F.col("bucket").alias("home"), F.col("content").alias("whole")).join(found, ["home", "whole"])
+    spans = spans.groupBy("key").agg(F.collect_set(F.struct("lo", "marks")).alias("spans"))
+    marks = F.flatten(F.transform("spans", lambda s: F.transform(s["marks"], lambda m: F.struct(m["k"].alias("k"), (m["a"] + s["lo"]).alias("a"), (m["b"] + s["lo"]).alias("b")))))
+    marks = written(spans.select("key", marks.alias("marks")), "marks")
+    remove(hits)
+    return every.select("id", "key", "n_bytes", "digest"), texts.join(marks, "key")
+
+
+def byte_spans(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal runs of the bytes under the windows that start in ``ranges``."""
     out: list[list[int]] = []
-    for a, b in sorted((r["a"], r["b"] + length - 1) for r in ranges):
+    for a, b in sorted((a, b + length - 1) for a, b in ranges):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -300,57 +445,70 @@ def byte_spans(ranges: list[dict], length: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _kept(length: int):
+def _kept(lengths: tuple[int, ...], length: int):
+    own = lengths.index(length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, ranges in zip(batch.column("text"), batch.column("ranges")):
-                b, spans = _bytes(text.as_py()), byte_spans(ranges.as_py(), length)
-                kept = b"".join(b[x:y] for x, y in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(b)]))
-                rows.append((len(b) - len(kept), len(spans), kept))
-            removed, spans, kept = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["key", "n_removed", "n_spans", "kept"])
+            for at in range(0, batch.num_rows, 500):
+                part, rows = batch.slice(at, 500), []
+                for text, marks in zip(part.column("text"), part.column("marks")):
+                    b, (k, first, after) = _bytes(text.as_py()), (x.to_numpy() for x in marks.values.flatten())
+                    found = [byte_spans(list(zip(first[k == i].tolist(), after[k == i].tolist())), x) for i, x in enumerate(lengths)]
+                    spans = found[own]
+                    kept = b"".join(b[x:y] for x, y in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(b)]))
+                    rows.append((len(b) - len(kept), len(spans), sum(y - x for x, y in found[0]), kept))
+                columns = zip(*rows) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["key", "n_removed", "n_spans", "n_passage_bytes", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> tuple[DataFrame, DataFrame]:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None, index_bytes: int = INDEX_BYTES) -> tuple[DataFrame, DataFrame]:
     """Bytes of texts under a ``length``-byte string that also starts anywhere else, and what is left without them.
 
     Returns two tables: one row per row of ``docs`` (id, key, n_bytes, digest: SHA-256 of the whole text), and one
-    per distinct (id, text) from which bytes go (key, n_removed, n_spans, kept: the remaining bytes). Texts are
-    UTF-8, matches never cross texts, overlaps count, and all strings are judged on the input.
-
-    Null texts are empty; texts shorter than ``length`` keep all. Repeated rows are each other's repeats. Null ids
-    are ids like others, an empty table gives empty tables, other columns are ignored.
-
-    Each window of ``length`` bytes has one anchor (a minimiser), so equal windows meet in one bucket. Windows
-    whose bucket is theirs alone are unique. Runs of windows with the bytes under them all equal are all repeats;
-    one of each such kind goes into a run-length index over whole buckets, at most about ``index_bytes`` a task,
-    whose matching statistics mark the rest. Buckets too large for one index are counted window by window.
+    for some of the distinct (id, text), among them all from which bytes go (key, n_removed, n_spans,
+    n_passage_bytes, kept: the remaining bytes). n_passage_bytes counts the bytes under ``passage``-byte strings that
+    repeat, which only are counted and don't go; ``passage`` is ``length`` unless it is given, and shorter.
+    Texts are UTF-8, matches never cross texts, overlaps count, and all strings are judged on the input.
+
+    Null texts are empty; texts shorter than ``length`` keep all. Very long texts are cut into segments in slabs.
+    Repeated rows are each other's repeats. Null ids are ids like others, an empty table gives empty tables, other
+    columns are ignored.
+
+    Each window of ``passage`` bytes has one anchor (a minimiser), so equal windows meet in one bucket. Windows
+    whose bucket is theirs alone are unique. One piece of each other kind, with the number of its copies, goes into
+    run-length indexes over whole buckets, whose matching statistics mark the windows. A bucket of more than
+    ``index_bytes`` is split by the bytes that its windows share and indexed likewise, so no task holds more.
     """
+    if passage is not None and passage > length:
+        raise ValueError("passages are no longer than what goes")
+    lengths = tuple(sorted({passage or length, length}))
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    every, marked = _marked(source, length, index_bytes)
-    return every, marked.mapInArrow(_kept(length), "key long, n_removed long, n_spans long, kept binary")
+    every, marked = _marked(source, lengths, index_bytes)
+    return every, marked.mapInArrow(_kept(lengths, length), f"key {KEY}, n_removed long, n_spans long, n_passage_bytes long, kept binary")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([b.as_py().decode("utf-8", "ignore") for b in batch.column("kept")], pa.string())], ["_key", "_kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([b.as_py().decode("utf-8", "ignore") for b in batch.column("kept")], pa.string())], ["key", "kept"])
 
 
 def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated bytes cut from the texts; all rows and other columns stay. Characters that a cut splits go."""
     _, changed = remove_repeats(docs, length, id_col, text_col)
-    changed = changed.select("key", "kept").mapInArrow(_decoded, "_key long, _kept string")
-    joined = docs.withColumn("_key", row_key(id_col, text_col)).join(changed, "_key", "left")
-    return joined.select(*(F.coalesce("_kept", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    key, kept = unused(docs, "_key", "_kept")
+    changed = changed.where("n_removed > 0").select("key", "kept").mapInArrow(_decoded, f"key {KEY}, kept string").toDF(key, kept)
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(changed, key, "left")
+    return joined.select(*(F.coalesce(F.col(kept), F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_repeats(spark, sf_dir: str) -> DataFrame:
-    every, changed = remove_repeats(plain(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
-    changed = changed.select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
+    """Beside the contract's columns n_passage_bytes: passages of more than fifty words can be shorter than 400 bytes."""
+    every, changed = remove_repeats(plain(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), passage=PASSAGE)
+    changed = changed.select("key", "n_removed", "n_spans", "n_passage_bytes", F.sha2("kept", 256).alias("sha"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return every.join(changed, "key", "left").select(
-        F.col("id").alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", F.lower(F.hex("digest"))).alias("kept_sha256"),
-    )
+        F.col("id").alias("doc_id"), "n_bytes", count("n_removed"), count("n_spans"), F.coalesce("sha", F.lower(F.hex("digest"))).alias("kept_sha256"), count("n_passage_bytes")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,11 @@ def held(name: tuple, make):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one, kept in the session."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one on a single machine, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.gleanspark.own.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = tempfile.mkdtemp(prefix="gleanspark-")
         spark.conf.set("spark.gleanspark.own.dir", base)
     return base.rstrip("/")
@@ -63,9 +66,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A written table of a few narrow columns, marked for broadcast if it has no more than ``rows`` rows; else a join shuffles it."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Bytes of a table that a join may send to every executor.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of a value in a broadcast table, about, by type; of a row besides.
+_WIDTHS, _ROW = {"binary": 40, "string": 40, "boolean": 8}, 24
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table of a few narrow columns, marked for broadcast if its rows take no more than ``most`` bytes in memory; else a join shuffles it."""
+    width = _ROW + sum(_WIDTHS.get(kind, 8) for _, kind in df.dtypes)
+    return F.broadcast(df) if df.count() * width <= most else df
 
 
 def remove(df: DataFrame) -> None:
@@ -77,10 +87,28 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Spark's type of a ``row_key``.
+KEY = "binary"
+
+
 def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's values, null included; equal rows have equal keys."""
-    parts = [F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in columns]
-    return F.xxhash64(*parts)
+    """A 128-bit key of a row's values, null included; equal rows have equal keys."""
+
+    def part(name: str) -> Column:
+        value = F.col(f"`{name}`").cast("string").cast("binary")
+        return F.when(value.isNull(), F.lit(b"\0")).otherwise(F.concat(F.octet_length(value).cast("string").cast("binary"), F.lit(b":"), value))
+
+    return F.unhex(F.md5(F.concat(*map(part, columns))))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:

@@ -58,21 +58,27 @@ def bag(df, *columns):
 
 
 @pytest.mark.parametrize("limit", [repeats.INDEX_BYTES, 2000, 100])
-@pytest.mark.parametrize("length", [400, 60])
-def test_repeats(docs, length, limit):
+@pytest.mark.parametrize(("length", "passage"), [(400, None), (60, None), (400, 250), (90, 60)])
+def test_repeats(docs, length, passage, limit):
     data = [(r[0], utf8(r[1])) for r in corpus()]
-    seen = Counter(b[i : i + length] for _, b in data for i in range(len(b) - length + 1))
+
+    def gone(size):
+        seen = Counter(b[i : i + size] for _, b in data for i in range(len(b) - size + 1))
+        for _, b in data:
+            out = [False] * len(b)
+            for a in range(len(b) - size + 1):
+                if seen[b[a : a + size]] > 1:
+                    out[a : a + size] = [True] * size
+            yield out
+
     want = Counter()
-    for i, b in data:
-        gone = [False] * len(b)
-        for a in range(len(b) - length + 1):
-            if seen[b[a : a + length]] > 1:
-                gone[a : a + length] = [True] * length
-        spans = sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone))
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        want[i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()] += 1
-    every, changed = repeats.remove_repeats(docs, length, index_bytes=limit)
-    out = every.join(changed, "key", "left").select("id", "n_bytes", F.coalesce("n_removed", F.lit(0)), F.coalesce("n_spans", F.lit(0)), F.coalesce(F.sha2("kept", 256), F.lower(F.hex("digest"))))
+    for (i, b), cut, known in zip(data, gone(length), gone(passage or length)):
+        spans = sum(g and not (j and cut[j - 1]) for j, g in enumerate(cut))
+        kept = bytes(x for x, g in zip(b, cut) if not g)
+        want[i, len(b), sum(cut), spans, hashlib.sha256(kept).hexdigest(), sum(known)] += 1
+    every, changed = repeats.remove_repeats(docs, length, passage=passage, index_bytes=limit)
+    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = every.join(changed, "key", "left").select("id", "n_bytes", number("n_removed"), number("n_spans"), F.coalesce(F.sha2("kept", 256), F.lower(F.hex("digest"))).alias("sha"), number("n_passage_bytes"))
     assert bag(out, "*") == want
 
 
@@ -90,8 +96,9 @@ def test_without_repeats_keeps_rows_and_columns(docs):
 def test_run_index_matches():
     r = random.Random(5)
     strings = [bytes(r.choice(b"ab") for _ in range(r.randrange(1, 60))) for _ in range(12)]
+    strings += [strings[3], b"a" * 40]
     index = repeats.RunIndex([np.frombuffer(s, np.uint8) for s in strings])
-    found = index.matches()
+    found, long = np.concatenate(list(index.statistics(50))), Counter()
     for i, s in enumerate(strings):
         for a in range(len(s)):
             best = 0
@@ -103,9 +110,20 @@ def test_run_index_matches():
                             n += 1
                         best = max(best, n)
             assert found[index.starts[i] + a] == best
+            long[i, a] = best >= 7
+    assert {(i, x) for i, a, b in zip(*map(np.ndarray.tolist, index.matches(7))) for x in range(a, b)} == {k for k, v in long.items() if v}
     assert len(index.symbols) < index.n and index.lengths.sum() == index.n
 
 
+def test_segments_partition_the_windows_in_slabs_too():
+    texts = [utf8(prose(400, 77)), b"", b"short", utf8(prose(500, 78)), b"ab" * 300]
+    for slab in (64, 1 << 18):
+        whose, lo, n, size, bucket, content = repeats.segments(texts, 50, 80, slab)
+        starts = sorted((int(w), int(a) + i) for w, a, m in zip(whose, lo, n) for i in range(m))
+        assert starts == [(i, a) for i, t in enumerate(texts) for a in range(len(t) - 49)]
+        assert all(s == min(a + m - 1 + 80, len(texts[w])) - a or slab == 64 for w, a, m, s in zip(whose, lo, n, size))
+
+
 # 2
 
 

@@ -41,6 +41,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str):
+    """The file system of ``uri`` for Python workers, and the path in it. Hadoop's names of object stores stand for the stores."""
+    import pyarrow.fs as fs
+
+    uri = re.sub(r"^s3[an]:", "s3:", uri)
+    return fs.FileSystem.from_uri(uri if ":" in uri.partition("/")[0] else f"file://{uri}")
+
+
 _tables: dict[str, list[str]] = {}
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleanspark.llm.shingles import WordHashes, mix
-from gleanspark.llm.store import held, new_path, plain, track, written
+from gleanspark.llm.store import filesystem, held, new_path, plain, track, written
 
 #: Characters of context at a word's start, where stems are, and inside it; what each seen sequence's count gives up for the unseen.
 PREFIX, CONTEXT, DISCOUNT = 9, 4, 0.75
@@ -20,13 +20,15 @@ PREFIX, CONTEXT, DISCOUNT = 9, 4, 0.75
 CALIBRATION_ROWS = 20_000
 #: Labels up to this many are sent to every executor; more are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
-#: Model entries that a worker keeps in memory (12 bytes each); a larger model is read again, part by part, for each block of texts.
+#: Model entries that a worker keeps in memory (12 bytes each); a larger model is read again, part by part, for each BLOCK of text.
 KEPT_ENTRIES = 8_000_000
-#: Bytes of text whose words are looked up at once.
-BLOCK = 32 << 20
-#: Log-likelihood ratio that ordinary words reach by chance.
-NOISE = 3.0
-FEATURES = ["f0", "f1", "f2", "f3", "f4"]
+#: Characters of text whose words are looked up at once, in a model that is kept and in one that isn't.
+SLICE, BLOCK = 1 << 20, 64 << 20
+#: Words whose ratios a worker remembers.
+REMEMBERED = 450_000
+#: The share of a toxic document's expressions that the toxic model gives, and the most that one expression can count.
+SHARE, MOST = 0.01, 6.0
+FEATURES = ["f0", "f1", "f2"]
 _KINDS = ", ".join(f"{f} double" for f in FEATURES)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -136,10 +138,9 @@ class Model:
     def __init__(self, path: str):
         import pyarrow.fs as fs
 
-        self.files, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        self.files, root = filesystem(path)
         self.paths = sorted(f.path for f in self.files.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
-        self.words: dict[str, float] = {}
-        self.best: dict[str, float] = {}
+        self.forget()
         parts, n = [], 0
         for part in self.parts():
             n += len(part[0])
@@ -149,6 +150,11 @@ class Model:
             parts.append(part)
         self.kept = parts
 
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}
+        #: By a word's number: its log-likelihood ratio, and what that says of the document it stands in.
+        self.ratios, self.evidence = np.empty(0), np.empty(0)
+
     def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(keys ascending, ratios) of each row group."""
         import pyarrow.parquet as pq
@@ -163,9 +169,8 @@ class Model:
     def learn(self, words: set[str]) -> None:
         """Remembers the ratios of ``words``: summed over their characters, an unseen one taking its context's."""
         new = [w for w in words if w not in self.words]
-        if len(self.words) > 450_000:
-            self.words.clear()
-            self.best.clear()
+        if new and len(self.words) + len(new) > REMEMBERED:
+            self.forget()
             new = list(words)
         if not new:
             return
@@ -182,24 +187,18 @@ class Model:
                 values[a:b] = np.where(keys[at] == wanted[a:b], ratios[at], values[a:b])
         known, context = values[back[: len(full)]], values[back[len(full) :]]
         llr = np.where(np.isnan(known), np.where(np.isnan(context), 0.0, context), known)
-        sums = np.r_[0.0, np.cumsum(llr)]
-        ends = np.r_[0, np.cumsum(sizes)]
-        whole = sums[ends[1:]] - sums[ends[:-1]]
-        # the best run of characters: sums less the least sum before them in the word, the words kept apart by far shifts
-        shift = np.repeat(np.arange(len(new)) * -1e4, np.diff(ends))
-        low = np.minimum.accumulate(sums[:-1] + shift)
-        best = np.maximum.reduceat(sums[1:] + shift - low, ends[:-1])
-        self.words.update(zip(new, whole.tolist()))
-        self.best.update(zip(new, best.tolist()))
+        whole = np.add.reduceat(llr, np.r_[0, np.cumsum(sizes)[:-1]])
+        self.words.update(zip(new, range(len(self.ratios), len(self.ratios) + len(new))))
+        self.ratios = np.r_[self.ratios, whole]
+        self.evidence = np.r_[self.evidence, np.log1p(SHARE * np.expm1(np.clip(whole, -20, MOST)))]
 
     def features(self, words: list[str]) -> tuple[float, ...]:
-        """Log-likelihood ratios: of the whole text for each character, of its most toxic expression and three; the text's log length; the excess of expressions over NOISE for each word."""
+        """Log-likelihood ratios, normalised by length: of all expressions being toxic, for each character; of SHARE of them, for the root of their number. And its log."""
         if not words:
             return (0.0,) * len(FEATURES)
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         size = sum(map(len, words)) + len(words)
-        best = np.fromiter(map(self.best.__getitem__, words), np.float64, len(words))
-        top = np.partition(best, -3)[-3:] if len(best) > 3 else best
-        return math.fsum(map(self.words.__getitem__, words)) / size, float(top.max()), float(top.sum() / 3), math.log(len(words)), float(np.clip(best - NOISE, 0, NOISE).mean())
+        return float(self.ratios[at].sum()) / size, float(self.evidence[at].sum()) / math.sqrt(len(words)), math.log(len(words))
 
 
 #: Stands for all characters unseen after a context.
@@ -220,21 +219,34 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys_of(contexts, chars)), batch.column("llr").cast(pa.float32())], ["key", "llr"])
 
 
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch with about ``most`` characters of text each."""
+    start = size = 0
+    for at, text in enumerate(batch.column("text")):
+        size += len(text.as_py() or "")
+        if size >= most:
+            yield batch.slice(start, at + 1 - start)
+            start, size = at + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _features(path: str, with_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held(("toxicity", path), lambda: Model(path))
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                texts, size, start = [], 0, at
-                while at < batch.num_rows and (not texts or size < BLOCK and len(texts) < 128):
-                    texts.append(words_of(batch.column("text")[at].as_py()))
-                    size += sum(map(len, texts[-1]))
-                    at += 1
-                model.learn(set().union(*texts))
+        for block in (x for b in batches for x in _slices(b, BLOCK)):
+            if model.kept is None:
+                distinct: set[str] = set()
+                for text in block.column("text"):
+                    distinct.update(words_of(text.as_py()))
+                model.learn(distinct)
+            for part in _slices(block, SLICE):
+                texts = [words_of(t.as_py()) for t in part.column("text")]
+                if model.kept is not None:
+                    model.learn(set().union(*texts))
                 rows = list(map(model.features, texts))
-                names = [c for c in batch.schema.names if with_text or c != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, at - start) for c in names), *(pa.array(x, pa.float64()) for x in zip(*rows))], names + FEATURES)
+                names = [c for c in part.schema.names if with_text or c != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(x, pa.float64()) for x in zip(*rows))], names + FEATURES)
 
     return run
 

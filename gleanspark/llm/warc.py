@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gleanspark.llm.store import new_path, plain, remove, written
+from gleanspark.llm.store import filesystem, new_path, plain, remove, written
 
 #: Bytes after which a writer starts another archive.
 ARCHIVE_BYTES = 64 << 20
@@ -105,31 +105,27 @@ def read_records(stream) -> Iterator[Record]:
         yield out
 
 
-def _filesystem(uri: str):
-    import pyarrow.fs as fs
-
-    return fs.FileSystem.from_uri(uri if ":" in uri.partition("/")[0] else f"file://{uri}")
-
-
 def _write(uri: str, archive_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _filesystem(uri)
+        files, root = filesystem(uri)
         task = TaskContext.get()
         part, attempt, number, size, records, out = task.partitionId(), task.taskAttemptId(), 0, 0, 0, None
         done: list[tuple[str, int, int]] = []
 
+        def name() -> str:
+            # attempts of one task may order their records differently; only the archives of the one that counts are listed
+            return f"{root}/part-{part:05d}-{attempt}-{number:04d}.warc.gz"
+
         def close() -> None:
             nonlocal out, number, size, records
             out.close()
-            final = f"{root}/part-{part:05d}-{number:04d}.warc.gz"
-            files.move(f"{final}.{attempt}", final)  # an attempt that ended early leaves no archive
-            done.append((final, records, size))
+            done.append((name(), records, size))
             out, number, size, records = None, number + 1, 0, 0
 
         for batch in batches:
             for page, url, html, refers in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to"))):
                 if out is None:
-                    out = files.open_output_stream(f"{root}/part-{part:05d}-{number:04d}.warc.gz.{attempt}")
+                    out = files.open_output_stream(name(), compression=None)
                 data = record(page.as_py(), url.as_py() or "", (html.as_py() or "").encode("utf-8", "surrogatepass"), refers.as_py())
                 out.write(data)
                 size, records = size + len(data), records + 1
@@ -144,7 +140,7 @@ def _write(uri: str, archive_bytes: int):
 
 def _read(uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, _ = _filesystem(uri)
+        files, _ = filesystem(uri)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows: list[tuple] = []
@@ -173,7 +169,8 @@ def write_archives(pages: DataFrame, uri: str, least: int = 0, archive_bytes: in
     Of records whose payloads are equal and have at least ``least`` bytes, that of the smallest page_id is the
     response and the others revisit it. Null html is an empty payload, a null url an empty one. Rows with a null
     page_id are written as responses of their own and are never revisited. Of rows with the same page_id and
-    payload, all count as the response. An empty table gives no archives; other columns are ignored.
+    payload, all count as the response. An empty table gives no archives; other columns are ignored. Archives are
+    named by the task's attempt, and only those of finished tasks are returned: what a lost task has left isn't read.
 
     Payloads are matched by digest, so only page ids and digests are grouped, with map-side combined minima; a
     payload that many pages share is skewed in the join of narrow rows only, which adaptive execution splits.
@@ -185,7 +182,7 @@ def write_archives(pages: DataFrame, uri: str, least: int = 0, archive_bytes: in
     shared = narrow.groupBy("same").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last")
     revisits = narrow.join(shared, "same").where("page_id <> first").groupBy("page_id", "same").agg(F.min("first").alias("refers_to"))
     joined = rows.withColumn("same", F.unhex(F.sha2(text, 256))).join(revisits, ["page_id", "same"], "left")
-    files, root = _filesystem(uri)
+    files, root = filesystem(uri)
     files.create_dir(root, recursive=True)
     archives = written(joined.select("page_id", "url", "html", "refers_to").mapInArrow(_write(uri, archive_bytes), "path string, records long, bytes long"), "archives")
     remove(narrow)
@@ -199,7 +196,17 @@ def read_archives(archives: DataFrame, uri: str) -> DataFrame:
     return spread.mapInArrow(_read(uri), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long")
 
 
+def verified(records: DataFrame) -> DataFrame:
+    """``records``, of a written table; an error if a revisit has another payload than the response that it refers to, or there is none."""
+    same = ("payload_digest", "payload_bytes")
+    first = records.where("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), *same, F.lit(True).alias("there")).distinct()
+    revisits = records.where("record_type = 'revisit'").join(first, ["refers_to", *same], "left")
+    wrong = F.raise_error(F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" revisits a record without its payload"))).cast("string")
+    revisits = revisits.withColumn("record_type", F.when(F.col("there"), F.col("record_type")).otherwise(wrong))
+    return records.where("record_type <> 'revisit'").unionByName(revisits.select(records.columns))
+
+
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     uri = new_path(spark, "warc")
     archives = write_archives(plain(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html"), uri)
-    return read_archives(archives, uri).drop("archive", "offset")
+    return verified(written(read_archives(archives, uri), "records")).drop("archive", "offset")

@@ -376,6 +376,10 @@ def test_warc_round_trip(spark, tmp_path):
         refers = first[b] if i is not None and first[b] != i else None
         want[i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if refers else "response", refers] += 1
     assert bag(warc.read_archives(archives, uri), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
+    table = store.written(warc.read_archives(archives, uri), "records")
+    assert bag(warc.verified(table), "*") == bag(table, "*")
+    with pytest.raises(Exception, match="without its payload"):
+        warc.verified(table.withColumn("payload_digest", F.when(F.col("page_id") == 2, "x").otherwise(F.col("payload_digest")))).collect()
     large = warc.read_archives(warc.write_archives(pages, f"{uri}-2", least=9), f"{uri}-2")
     assert large.where("record_type = 'revisit'").count() == 0
     assert warc.read_archives(warc.write_archives(pages.limit(0), f"{uri}-3"), f"{uri}-3").count() == 0
@@ -510,7 +514,7 @@ def test_large_models_are_read_in_parts(spark, tmp_path, monkeypatch):
         m = toxicity.Model(str(tmp_path / "m"))
         assert (m.kept is None) == (kept == 0)
         m.learn({"abc", "q"})
-        assert m.words["abc"] == pytest.approx(0.25 - 1.0 + 0.5) and m.words["q"] == 0
+        assert m.ratios[m.words["abc"]] == pytest.approx(0.25 - 1.0 + 0.5) and m.ratios[m.words["q"]] == 0
 
 
 # 10

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanspark.llm.store import plain, ranked, row_key, written
@@ -21,33 +22,38 @@ def size_class(size: Column) -> Column:
     return size - F.pmod(size, unit)
 
 
-def schedule(classes: list[tuple[int, int, int]], shards: int, heap: list[tuple[int, int]] | None = None) -> list[tuple[int, list[int], list[int]]]:
+def schedule(classes: list[tuple[int, int, int]], shards: int) -> list[tuple[int, list[int], list[int]]]:
     """Deals groups, given as (class, number, bytes), largest first, each to the least-loaded shard through a heap.
 
-    Returns for each class the shards of its first groups, and the order in which the others go round all shards:
-    once loads differ by at most one group's size, equal groups go round in a fixed order, so whole rounds are
-    dealt at once and the heap sees about 2 * shards groups a class, however many there are.
+    Returns for each class the shards that get some of its groups, and how many groups go to each of these and those
+    before it: at most ``shards`` entries, however many groups there are.
+
+    A class of many groups is dealt at once as far as the heap's order is known: a shard takes a group at its load,
+    then at its load and one size, and so on, and the heap takes the least of all these. All below some level are
+    dealt together, the level found by bisection; the few that are left go through the heap one by one.
     """
-    heap = heap or [(0, s) for s in range(shards)]
-    heapq.heapify(heap)
+    heap = [(0.0, s) for s in range(shards)]
     out = []
     for key, number, total in sorted(classes, reverse=True):
-        size, first, turns = total / number, [], []
+        size, taken = total / number, [0] * shards
         left = number
-        while left:
-            if left >= shards and max(heap)[0] - heap[0][0] <= size:
-                heap.sort()
-                turns = [s for _, s in heap]
-                rounds, left = divmod(left, shards)
-                # the rest of the groups keep to the same order
-                heap = [(load + size * (rounds + (i < left)), s) for i, (load, s) in enumerate(heap)]
-                heapq.heapify(heap)
-                break
+        if left > 4 * shards:
+            loads = np.array([load for load, _ in sorted(heap, key=lambda x: x[1])])
+            dealt = lambda level: np.maximum(np.ceil((level - loads) / size), 0).astype(np.int64)
+            low, high = float(loads.min()), float(loads.min()) + size * (left + 1)
+            for _ in range(64):
+                level = (low + high) / 2
+                low, high = (level, high) if dealt(level).sum() <= left else (low, level)
+            taken = dealt(low).tolist()
+            left -= sum(taken)
+            heap = [(float(load) + size * n, s) for s, (load, n) in enumerate(zip(loads, taken))]
+            heapq.heapify(heap)
+        for _ in range(left):
             load, s = heap[0]
             heapq.heapreplace(heap, (load + size, s))
-            first.append(s)
-            left -= 1
-        out.append((key, first, turns))
+            taken[s] += 1
+        some = [s for s in range(shards) if taken[s]]
+        out.append((key, some, np.cumsum([taken[s] for s in some]).tolist()))
     return out
 
 
@@ -74,12 +80,11 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     groups = rows.groupBy("same").agg(F.sum("size").alias("bytes")).withColumn("class", size_class(F.col("bytes")))
     groups = written(groups, "groups")
     histogram = [tuple(r) for r in groups.groupBy("class").agg(F.count(F.lit(1)), F.sum("bytes")).collect()]
-    plan = spark.createDataFrame(schedule(histogram, shards), "class long, first array<int>, turns array<int>")
+    plan = spark.createDataFrame(schedule(histogram, shards), "class long, shards array<int>, ends array<long>")
 
     placed = ranked(groups, ["class"], ["same"], "rank").join(plan, "class")
-    head = F.size("first").cast("long")
-    turn = F.pmod(F.col("rank") - head, F.greatest(F.size("turns"), F.lit(1))).cast("int")
-    placed = placed.select("same", F.when(F.col("rank") < head, F.get("first", F.col("rank").cast("int"))).otherwise(F.get("turns", turn)).alias("shard"))
+    before = F.size(F.filter("ends", lambda end: end <= F.col("rank")))
+    placed = placed.select("same", F.get("shards", before).alias("shard"))
     placed = written(rows.join(placed, "same").select("id", "key", "size", "text_crc32", "shard"), "placed")
     return ranked(placed, ["shard"], ["key"], "slot").select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

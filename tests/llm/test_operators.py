@@ -138,25 +138,45 @@ def test_sharding(docs, empty):
         assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 4
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(len(s) == 1 for s in by_crc.values())
+    # the whole result is as even as brute force makes it: groups of equal texts, largest first, to the least load
+    groups, loads = Counter(), [0] * 4
+    for row in rows:
+        groups[utf8(row[1])] += len(utf8(row[1])) + 16
+    for size in sorted(groups.values(), reverse=True):
+        loads[loads.index(min(loads))] += size
+    got = Counter()
+    for r in out:
+        got[r.shard] += r.size
+    assert sorted(got.values()) == sorted(loads)
     assert sharding.shard(empty, 4).count() == 0
 
 
+def loads_of(classes, shards):
+    got = [0.0] * shards
+    for (size, n, _), (key, some, ends) in zip(sorted(classes, reverse=True), sharding.schedule(classes, shards)):
+        assert key == size and ends[-1] == n and len(some) == len(ends) <= shards
+        for s, a, b in zip(some, [0, *ends], ends):
+            got[s] += size * (b - a)
+    return got
+
+
 def test_schedule_is_the_heaps():
-    r = random.Random(2)
-    classes = [(s, n, s * n) for s, n in {r.randrange(1, 1000): r.randrange(1, 200) for _ in range(80)}.items()]
-    loads = [(0, s) for s in range(7)]
     import heapq
 
-    for size, n, _ in sorted(classes, reverse=True):
-        for _ in range(n):
-            load, s = heapq.heappop(loads)
-            heapq.heappush(loads, (load + size, s))
-    got = [0.0] * 7
-    for (size, n, _), (key, first, turns) in zip(sorted(classes, reverse=True), sharding.schedule(classes, 7)):
-        assert key == size
-        for i in range(n):
-            got[first[i] if i < len(first) else turns[(i - len(first)) % 7]] += size
-    assert sorted(got) == sorted(load for load, _ in loads)
+    r = random.Random(2)
+    for large in ([], [(10**6, 1, 10**6)], [(50_000, 30, 50_000 * 30)]):
+        classes = large + [(s, n, s * n) for s, n in {r.randrange(1, 1000): r.randrange(1, 200) for _ in range(80)}.items()]
+        loads = [(0, s) for s in range(7)]
+        for size, n, _ in sorted(classes, reverse=True):
+            for _ in range(n):
+                load, s = heapq.heappop(loads)
+                heapq.heappush(loads, (load + size, s))
+        assert sorted(loads_of(classes, 7)) == sorted(load for load, _ in loads)
+
+
+def test_a_large_group_leaves_a_small_schedule():
+    got = loads_of([(10**9, 1, 10**9), (2000, 400_000, 8 * 10**8)], 40)
+    assert sorted(got)[-1] == 10**9 and max(sorted(got)[:-1]) - min(got) <= 2000
 
 
 def test_size_classes(spark):

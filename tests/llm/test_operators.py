@@ -209,19 +209,67 @@ def test_certified_cutoffs_hold():
     assert abs(quality.upper_bound(0, 100, 0.05) - (1 - 0.05 ** (1 / 100))) < 1e-9
     tail = sum(math.comb(50, i) * 0.2**i * 0.8 ** (50 - i) for i in range(5))
     assert abs(quality.upper_bound(4, 50, tail) - 0.2) < 1e-9
-    assert quality.certified({28: 10_000}, 0.01, 0.01) == quality.CUTOFFS - 1
-    assert quality.certified({0: 500, 28: 500}, 0.01, 0.01) is None and quality.certified({28: 20}, 0.01, 0.01) is None
-    level = quality.certified({5: 200, 28: 9_800}, 0.01, 0.01)
-    assert level == 4
+    assert quality.certified({9: 10_000}, 9, 0.01, 0.01) == 8
+    assert quality.certified({0: 500, 9: 500}, 9, 0.01, 0.01) is None and quality.certified({9: 20}, 9, 0.01, 0.01) is None
+    assert quality.certified({5: 200, 9: 9_800}, 9, 0.01, 0.01) == 4
+
+
+def measures(text):
+    n, chars, symbols, dup, repeated, capitals, shouts, lines = quality.counts_of(text, shingles.WordHashes())
+    return {"symbols": symbols / max(n, 1), "capitals": capitals / max(chars, 1), "shouts": shouts / max(n, 1), "repeats": repeated / max(n, 1), "lines": dup / max(lines, 1), "lengths": chars / max(n, 1) / 100}, n < 50 or 100 * repeated > 50 * n
+
+
+def brute_kept(rows, labels, alpha=0.05, delta=0.05):
+    """Every step of every stratum's way tried on every held-out good document, with binomial sums."""
+    seen, tune, held = {}, [], defaultdict(list)
+    truth = {}
+    for i, y in labels:
+        truth[i] = min(y, truth.get(i, 1))
+    for i, text, lang in rows:
+        m, failed = measures(text)
+        levels = [min([x for x in range(quality.CUTOFFS) if m[r] > quality.STEP**-x], default=quality.CUTOFFS) for r in quality.RULES]
+        seen[i] = lang, failed, levels
+        if i in truth and not failed:
+            (tune if zlib.crc32(str(i).encode()) % 5 < quality.TUNING else held[lang]).append((lang, truth[i] == 1, levels))
+    strata = [s for s in held if sum(g for _, g, _ in held[s]) >= 20]
+    cut = {}
+    for s in strata:
+        own = [x for x in tune if x[0] == s]
+        own = own if sum(x[1] for x in own) >= quality.OWN_GOOD and sum(not x[1] for x in own) >= quality.OWN_BAD else tune
+        best, value = None, None
+        for step in quality.way(np.array([x[2] for x in own]), np.array([x[1] for x in own])):
+            gone = lambda x: any(a >= b for a, b in zip(step, x[2]))  # noqa: B023, E731
+            n, k = sum(x[1] for x in held[s]), sum(x[1] and gone(x) for x in held[s])
+            if sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) > delta / len(strata):
+                break
+            now = sum((-quality.LOSS if x[1] else 1) * gone(x) for x in held[s])
+            if best is None or now > value:
+                best, value = step, now
+        cut[s] = best
+    return {i: not failed and (cut.get(lang) is None or not any(a >= b for a, b in zip(cut[lang], levels))) for i, (lang, failed, levels) in seen.items()}
 
 
 def test_rules_reject_junk_and_keep_the_good(spark):
-    good = [(i, prose(200, 1000 + i).replace("##", "ok"), "en") for i in range(1500)]
-    junk = [(5000 + i, prose(200, 9000 + i).replace(" ", "%%% "), "en") for i in range(50)]
-    df = spark.createDataFrame(good + junk, "doc_id bigint, text string, lang string")
-    labels = spark.createDataFrame([(i, 1) for i, *_ in good[:1200]], "doc_id bigint, quality int")
-    out = {r.doc_id: r.kept for r in quality.quality(df, labels).collect()}
-    assert not any(out[i] for i, *_ in junk) and sum(not out[i] for i, *_ in good) <= 0.05 * len(good)
+    r, rows, labels = random.Random(9), [], []
+    for i in range(1400):
+        lang = ["en", "en", "de", "xx"][i % 4]
+        text = prose(r.randrange(40, 120), 1000 + i).replace("##", "ok")
+        bad = i % 7 == 0
+        if bad:
+            text = [text.replace(" ", "%%% "), text.upper(), text.replace(" ", "! ")][i % 3]
+        elif i % 29 == 0:
+            text = text.replace("alpha", "ALPHA%")
+        rows.append((i, text, lang))
+        if i % 4 != 3 or i < 60:
+            labels.append((i, int(not bad)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = {x.doc_id: x.kept for x in quality.quality(df, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
+    assert out == brute_kept(rows, labels)
+    for lang in ("en", "de"):
+        own = [(i, y) for i, y in labels if rows[i][2] == lang and not measures(rows[i][1])[1]]
+        assert sum(not out[i] for i, y in own if not y) >= 0.9 * sum(not y for _, y in own)
+        assert sum(not out[i] for i, y in own if y) <= 0.05 * sum(y for _, y in own)
+    assert all(out[i] for i in range(3, 1400, 4) if not measures(rows[i][1])[1])  # too few labels
 
 
 # 4

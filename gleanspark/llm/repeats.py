@@ -13,7 +13,7 @@ from gleanspark.llm.shingles import mix
 from gleanspark.llm.store import KEY, held, plain, remove, row_key, small, unused, written
 
 #: A window's anchor is a gram of this share of its bytes.
-GRAM = 10
+GRAM = 4
 #: Windows handled at once, of one long text or many short ones.
 SLAB = 1 << 18
 #: Bytes that the pieces of one bucket may have; a bucket with more is split. Smaller buckets share indexes of about as many bytes.
@@ -73,17 +73,16 @@ def _placed(hashes: np.ndarray) -> np.ndarray:
     return (hashes & _HIGH) | np.arange(len(hashes), dtype=np.uint64)
 
 
-def segments(texts: list[bytes], length: int, wide: int | None = None, slab: int = SLAB) -> list[np.ndarray]:
-    """Cuts the starts of all ``length``-byte windows into runs with one anchor: text, first start, number, size, bucket, content.
+def segments(texts: list[bytes], length: int, slab: int = SLAB) -> list[np.ndarray]:
+    """Cuts the starts of all ``length``-byte windows into runs with one anchor: text, first start, number, bucket, content.
 
     A window's anchor is its gram of least hash, the leftmost of equals, so equal windows have equal anchors at
-    equal places: bucket is the anchor's hash. A run's piece are the bytes from its first start to ``wide`` bytes
-    after its last one, or to the text's end: size of them, which content is the hash of.
+    equal places: bucket is the anchor's hash, content that of the bytes under the run's windows.
     """
-    wide, gram = max(wide or length, length), max(1, length // GRAM)
+    gram = max(1, length // GRAM)
     parts: list[tuple[int, int, bytes]] = []
     for i, b in enumerate(texts):
-        parts += [(i, base, b[base : base + slab + wide - 1]) for base in range(0, max(0, len(b) - length + 1), slab)]
+        parts += [(i, base, b[base : base + slab + length - 1]) for base in range(0, max(0, len(b) - length + 1), slab)]
     out: list[tuple] = []
     at = 0
     while at < len(parts):
@@ -98,48 +97,44 @@ def segments(texts: list[bytes], length: int, wide: int | None = None, slab: int
         hashes = r.grams(gram)
         anchor = (_least(_placed(hashes), length - gram + 1) & _LOW).astype(np.int64)
         part = np.repeat(np.arange(len(group)), sizes)[: len(anchor)]
-        inside = np.arange(len(anchor)) <= np.minimum(ends[part] - length, ends[part] - sizes[part] + slab - 1)
-        fresh = inside & np.r_[True, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])]
-        lo = np.flatnonzero(fresh)
-        n = np.add.reduceat(inside.astype(np.int64), lo) if len(lo) else np.empty(0, np.int64)
-        whose = part[lo]
-        size = np.minimum(lo + n - 1 + wide, ends[whose]) - lo
-        place = anchor[lo]
-        content = mix(r.of(lo, lo + size) + ((n << 40) + (size << 20) + (place - lo)).astype(np.uint64))
+        inside = np.arange(len(anchor)) <= ends[part] - length
+        lo = np.flatnonzero(inside & np.r_[True, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
+        n, whose, place = np.add.reduceat(inside.astype(np.int64), lo), part[lo], anchor[lo]
+        content = mix(r.of(lo, lo + n - 1 + length) + ((n << 32) + (place - lo)).astype(np.uint64))
         base = np.fromiter((p[1] for p in group), np.int64, len(group)) - (ends - sizes)
         text = np.fromiter((p[0] for p in group), np.int64, len(group))
-        out.append((text[whose], lo + base[whose], n, size, hashes[place].view(np.int64), content.view(np.int64)))
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 6
+        out.append((text[whose], lo + base[whose], n, hashes[place].view(np.int64), content.view(np.int64)))
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 5
 
 
-def suffix_array(x: np.ndarray, sep: np.ndarray) -> np.ndarray:
-    """Suffixes of the bytes ``x`` in order; True in ``sep`` marks separators, each unlike any other, the last at the end.
+def suffix_array(x: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of the bytes ``x`` in order, and how many bytes each place has up to its separator; True in ``sep`` marks separators, each unlike any other, the last at the end.
 
     Prefix doubling; only suffixes that still share a place with another are sorted again, as numbers that hold
     their key and their place.
     """
     n = len(x)
     bits = n.bit_length()
-    code = np.zeros(256, np.int64)
-    code[np.unique(x)] = 1
-    code = np.cumsum(code) * code
+    mask, ends = (1 << bits) - 1, np.flatnonzero(sep)
+    #: Symbols from each place up to its separator.
+    room = np.repeat(ends, np.diff(np.r_[-1, ends])).astype(np.int32)
+    room -= np.arange(n, dtype=np.int32)
+    code = np.zeros(256, np.uint8)
+    code[np.unique(x[~sep])] = 1
+    code = np.where(code > 0, np.cumsum(code), 0)
     step = int(code.max()).bit_length()
-    width = max(1, (63 - bits) // step)
-    mask = (1 << bits) - 1
-    symbols = np.zeros(n + width, np.int64)
-    symbols[:n] = np.where(sep, 0, code[x])
-    key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
-    for j in range(width):
-        part = symbols[j : j + n]
-        open_ &= part > 0
-        key <<= step
-        key |= np.where(open_, part, 0)
-    del symbols, part
-    key <<= bits
-    key |= np.arange(n)
+    width, key = 1, np.where(sep, 0, code[x]).astype(np.int64)
+    while 2 * width * step + bits <= 63:
+        key = (key << width * step) | np.r_[key[width:], np.zeros(width, np.int64)]
+        width *= 2
+    # what comes after a separator doesn't count
+    blank = np.maximum(width - room, 0) * step
+    key = (key >> blank << blank << bits) | np.arange(n)
+    del blank
     key.sort()
     order = (key & mask).astype(np.int32)
     key >>= bits
+    open_ = room >= width
     # a suffix that meets its separator has its place: after the earlier ones like it
     head = np.r_[True, (key[1:] != key[:-1]) | ~open_[order[1:]]]
     del key, open_
@@ -159,7 +154,7 @@ def suffix_array(x: np.ndarray, sep: np.ndarray) -> np.ndarray:
         rank[left] = slot[np.maximum.accumulate(np.where(new_head, i, 0))]
         left = left[~(new_head & np.r_[new_head[1:], True])]
         width *= 2
-    return order
+    return order, room
 
 
 class RunIndex:
@@ -181,39 +176,41 @@ class RunIndex:
         text, sep = np.zeros(self.n + 8, np.uint8), np.zeros(self.n, bool)
         sep[ends - 1] = True
         text[: self.n][~sep] = np.concatenate(strings)
-        suffixes = suffix_array(text[: self.n], sep)
-        before = suffixes - 1
-        bwt = text[before].astype(np.int16)
-        bwt[before < 0] = -1
-        bwt[sep[before]] = -1
-        del before
+        suffixes, room = suffix_array(text[: self.n], sep)
+        bwt = np.full(self.n + 1, -1, np.int16)
+        bwt[1:][~sep] = text[: self.n][~sep]
+        bwt = bwt[suffixes]
         tops = np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] < 0)) + 1
         #: Symbols (-1: the start of a string) and lengths of the runs.
         self.symbols, self.lengths = bwt[np.r_[0, tops]], np.diff(np.r_[0, tops, self.n])
-        del bwt
+        del bwt, tops
         tops = np.cumsum(self.lengths)[:-1]
-        above, below = suffixes[tops - 1].astype(np.int64), suffixes[tops].astype(np.int64)
+        above, below = suffixes[tops - 1], suffixes[tops]
         del suffixes
-        common = self._common(text, ends - 1, above, below)
-        places, values = np.concatenate([above, below]), np.concatenate([common, common])
-        order = np.argsort(places, kind="stable")
+        common = self._common(text, room, above, below)
+        longest, other = np.full(self.n, -1, np.int32), np.full(self.n, -1, np.int32)
+        longest[above] = common
+        other[below] = common
+        np.maximum(longest, other, out=longest)
         #: Samples in the order of the strings: a place, and how long it matches another one.
-        self.places, self.values = places[order], values[order]
+        self.places = np.flatnonzero(longest >= 0)
+        self.values = longest[self.places].astype(np.int64)
 
-    def _common(self, text: np.ndarray, ends: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _common(text: np.ndarray, room: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Lengths of the longest common prefixes of the suffixes at p and q, inside their strings."""
-        most = np.minimum(*(ends[np.searchsorted(ends, x)] - x for x in (p, q)))
-        out = np.zeros(len(p), np.int64)
+        most = np.minimum(room[p], room[q])
+        out = np.zeros(len(p), np.int32)
         live = np.flatnonzero(most > 0)
-        step = np.arange(8)
+        step = np.arange(8, dtype=np.int32)
         while len(live):
             at = out[live]
             a, b = (text[(x[live] + at)[:, None] + step].view(np.uint64).ravel() for x in (p, q))
             differ = a ^ b
-            same = np.full(len(live), 8)
+            same = np.full(len(live), 8, np.int32)
             odd = np.flatnonzero(differ)
             low = differ[odd] & (~differ[odd] + np.uint64(1))
-            same[odd] = np.log2(low.astype(np.float64)).astype(np.int64) >> 3
+            same[odd] = np.log2(low.astype(np.float64)).astype(np.int32) >> 3
             out[live] = at + same
             live = live[(same == 8) & (out[live] < most[live])]
         return np.minimum(out, most)
@@ -241,61 +238,87 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-_LISTS = {"lo": pa.int32(), "n": pa.int32(), "size": pa.int32(), "bucket": pa.int64(), "content": pa.int64()}
+_LISTS = {"lo": pa.int32(), "n": pa.int32(), "bucket": pa.int64(), "content": pa.int64()}
+_LIST_KINDS = "lo array<int>, n array<int>, bucket array<long>, content array<long>"
+
 
+def _lists(whose: np.ndarray, found: list[np.ndarray], rows: int) -> list[pa.Array]:
+    ends = pa.array(np.searchsorted(whose, np.arange(rows + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in zip(found, _LISTS.values())]
 
-def _cut(length: int, wide: int):
+
+def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held((), object)  # nothing of other stages is needed
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = [_bytes(t.as_py()) for t in batch.column("text")]
-            whose, *found = segments(texts, length, wide)
-            ends = pa.array(np.searchsorted(whose, np.arange(len(texts) + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in zip(found, _LISTS.values())]
+            whose, *found = segments(texts, length)
             digests = pa.array([hashlib.sha256(b).digest() for b in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(list(map(len, texts)), pa.int64()), digests, *lists], ["id", "key", "n_bytes", "digest", *_LISTS])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(list(map(len, texts)), pa.int64()), digests, *_lists(whose, found, len(texts))], ["id", "key", "n_bytes", "digest", *_LISTS])
+
+    return run
+
+
+def _cut_within(short: int, length: int):
+    """Segments of those parts of texts that are covered throughout by repeats of ``short`` bytes: no others can hold longer repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            parts, rows, starts = [], [], []
+            for row, (text, marks) in enumerate(zip(batch.column("text"), batch.column("marks"))):
+                b = _bytes(text.as_py())
+                for x, y in byte_spans(_pairs(marks), 1):
+                    if y - 1 + short - x >= length:
+                        parts.append(b[x : y - 1 + short])
+                        rows.append(row)
+                        starts.append(x)
+            whose, lo, *found = segments(parts, length)
+            lo += np.array(starts, np.int64)[whose]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("rows"), *_lists(np.array(rows, np.int64)[whose], [lo, *found], batch.num_rows)], ["key", "rows", *_LISTS])
 
     return run
 
 
-_PIECES = {"bucket": pa.int64(), "content": pa.int64(), "copies": pa.int64(), "n": pa.int32(), "piece": pa.binary()}
+_PIECES = {"bucket": pa.int64(), "content": pa.int64(), "copies": pa.int64(), "piece": pa.binary()}
 _PARTS = _PIECES | {"home": pa.int64(), "whole": pa.int64(), "base": pa.int32()}
-_PIECE_KINDS = "bucket long, content long, copies long, n int, piece binary"
+_PIECE_KINDS = "bucket long, content long, copies long, piece binary"
 _PART_KINDS = f"{_PIECE_KINDS}, home long, whole long, base int"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for text, wanted in zip(batch.column("text"), batch.column("wanted")):
-            b = _bytes(text.as_py())
-            bucket, content, copies, lo, n, size = wanted.values.flatten()
-            piece = pa.array([b[x : x + y] for x, y in zip(lo.to_pylist(), size.to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([bucket, content, copies, n, piece], list(_PIECES))
+def _pieces(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, wanted in zip(batch.column("text"), batch.column("wanted")):
+                b = _bytes(text.as_py())
+                bucket, content, copies, lo, n = wanted.values.flatten()
+                piece = pa.array([b[x : x + y - 1 + length] for x, y in zip(lo.to_pylist(), n.to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([bucket, content, copies, piece], list(_PIECES))
+
+    return run
 
 
 def _word(x: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
-def _split(length: int, wide: int, step: int):
+def _split(length: int, step: int):
     """Deals the windows of each piece by the distance to their anchor, ``step`` distances together, into pieces of their own.
 
     All windows of such a piece hold the bytes that the farthest two of them share, so these name its bucket.
     """
     gram = max(1, length // GRAM)
 
-    def parts(bucket: int, content: int, copies: int, n: int, piece: bytes) -> Iterator[tuple]:
-        r = Rolling(np.frombuffer(piece, np.uint8))
+    def parts(bucket: int, content: int, copies: int, piece: bytes) -> Iterator[tuple]:
+        r, n = Rolling(np.frombuffer(piece, np.uint8)), len(piece) - length + 1
         place, first = int(np.argmin(_placed(r.grams(gram)[: length - gram + 1]))), 0
         seed = np.array([bucket], np.int64).view(np.uint64)
         while first < n:
             j = (place - first) // step
             last = min(place - j * step, n - 1)
-            end = min(last + wide, len(piece))
             shared = r.of(np.array([place - j * step]), np.array([place - (j + 1) * step + 1 + length]))
-            form = np.array([(last - first << 40) + (end - first << 20) + place - first], np.uint64)
-            own = r.of(np.array([first]), np.array([end]))
-            yield _word(mix(shared + mix(seed + np.uint64(j)))), _word(mix(own + form)), copies, last - first + 1, piece[first:end], bucket, content, first
+            form = np.array([(last - first << 32) + place - first], np.uint64)
+            own = r.of(np.array([first]), np.array([last + length]))
+            yield _word(mix(shared + mix(seed + np.uint64(j)))), _word(mix(own + form)), copies, piece[first : last + length], bucket, content, first
             first = last + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,93 +329,67 @@ def _split(length: int, wide: int, step: int):
     return run
 
 
-def _dealt(index_bytes: int):
-    """Deals pieces that all hold one window over as many buckets as they need; the one of least content goes to all, so that none is alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for bucket, content, copies, n, piece, size, least in zip(*(batch.column(c).to_pylist() for c in [*_PIECES, "bytes", "least"])):
-                blocks = -(-size // max(index_bytes, 1 << 16))
-                seed = np.array([bucket], np.int64).view(np.uint64)
-                for block in range(blocks) if content == least else (content % blocks,):
-                    rows.append((_word(mix(seed + np.uint64(block))), content, copies, n, piece, bucket, content, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(_PARTS), _PARTS.values())], list(_PARTS))
-
-    return run
-
-
-_MARKS = pa.list_(pa.struct([("k", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
-_FOUND = "bucket long, content long, marks array<struct<k:int,a:int,b:int>>"
-
+_MARKS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_FOUND = "bucket long, content long, marks array<struct<a:int,b:int>>"
 
-def _index(lengths: tuple[int, ...]):
-    """Marks the starts of repeated windows of each length (k: its number) in the pieces of whole buckets."""
 
-    def marks(pieces: list[np.ndarray], n: np.ndarray, copies: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-        # beyond its own windows a piece has no place with so many bytes left: no window is there twice
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        rows = np.flatnonzero(sizes >= lengths[k])
-        if not len(rows):
-            return (np.empty(0, np.int64),) * 3
-        whose, a, b = RunIndex([pieces[i][: n[i] - 1 + lengths[k]] for i in rows]).matches(lengths[k])
-        many = rows[copies[rows] > 1]
-        return np.r_[rows[whose], many], np.r_[a, np.zeros(len(many), np.int64)], np.r_[b, np.minimum(n[many], sizes[many] - lengths[k] + 1)]
+def _index(length: int):
+    """Marks the starts of repeated windows in the pieces of whole buckets, as many as fit into one index."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("bucket").combine_chunks()
-        bucket, n, copies = (table.column(c).to_numpy() for c in ("bucket", "n", "copies"))
+        bucket, copies = (table.column(c).to_numpy() for c in ("bucket", "copies"))
         pieces = [np.frombuffer(p.as_py(), np.uint8) for p in table.column("piece")]
         ends = np.cumsum(np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces)))
         edges = [*(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)]
         found, start = [], 0
         for edge, after in zip(edges, [*edges[1:], None]):
-            # as many whole buckets as fit into one index
             if after is None or ends[after - 1] - (ends[start - 1] if start else 0) > MOST_SYMBOLS:
-                for k in range(len(lengths)):
-                    row, a, b = marks(pieces[start:edge], n[start:edge], copies[start:edge], k)
-                    found.append((row + start, np.full(len(row), k), a, b))
+                row, a, b = RunIndex(pieces[start:edge]).matches(length)
+                found.append((row + start, a, b))
                 start = edge
+        many = np.flatnonzero(copies > 1)  # strings that the index stands for several times
+        found.append((many, np.zeros(len(many), np.int64), np.array([len(pieces[i]) - length + 1 for i in many], np.int64)))
         row, *values = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(row, kind="stable")
         rows, at = np.unique(row[order], return_index=True)
-        struct = pa.StructArray.from_arrays([pa.array(v[order], pa.int32()) for v in values], ["k", "a", "b"])
+        struct = pa.StructArray.from_arrays([pa.array(v[order], pa.int32()) for v in values], ["a", "b"])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(row)], pa.int32()), struct)
         return table.select(["bucket", "content"]).take(pa.array(rows)).append_column("marks", lists.cast(_MARKS))
 
     return run
 
 
-def _found(pieces: DataFrame, lengths: tuple[int, ...], index_bytes: int) -> DataFrame:
+def _shifted(marks: str, by: str):
+    return F.transform(marks, lambda m: F.struct((m["a"] + F.col(by)).alias("a"), (m["b"] + F.col(by)).alias("b")))
+
+
+def _found(pieces: DataFrame, length: int, index_bytes: int) -> DataFrame:
     """(home, whole, marks) of ``pieces``, a written table that has each (bucket, content) once.
 
     A bucket whose pieces are too many bytes for one index is split by what its windows share: half as many
-    distances to the anchor go together each time, until what meets fits or is the same window throughout.
+    distances to the anchor go together each time, until what meets fits, or is one window.
     """
-    length, wide = lengths[0], lengths[-1]
     level, homes, out = pieces, None, None
     step = length - max(1, length // GRAM) + 1
     while True:
-        sizes = written(level.groupBy("bucket").agg(F.sum(F.length("piece") + 1).alias("bytes"), F.min("content").alias("least")), "sizes")
+        sizes = written(level.groupBy("bucket").agg(F.sum(F.length("piece") + 1).alias("bytes")), "sizes")
         n_large, total = sizes.agg(F.count_if(F.col("bytes") > index_bytes), F.sum("bytes")).first()
-        large = sizes.where(F.col("bytes") > index_bytes)
-        last = not n_large or step < 0
-        fits = level if last else level.join(small(large.select("bucket")), "bucket", "left_anti")
+        last = not n_large or step == 1
+        large = sizes.where(F.col("bytes") > index_bytes).select("bucket")
+        fits = level if last else level.join(small(large), "bucket", "left_anti")
         tasks = max(1, -(-(total or 0) // index_bytes))
-        found = fits.withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).groupBy("task").applyInArrow(_index(lengths), _FOUND)
+        found = fits.withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks))).groupBy("task").applyInArrow(_index(length), _FOUND)
         if homes is None:
             found = found.select(F.col("bucket").alias("home"), F.col("content").alias("whole"), "marks")
         else:
-            found = found.join(homes, ["bucket", "content"])
-            found = found.select("home", "whole", F.transform("marks", lambda m: F.struct(m["k"].alias("k"), (m["a"] + F.col("base")).alias("a"), (m["b"] + F.col("base")).alias("b"))).alias("marks"))
+            found = found.join(homes, ["bucket", "content"]).select("home", "whole", _shifted("marks", "base").alias("marks"))
         found = written(found, "found")
         out = found if out is None else out.union(found)
         if last:
             return out
-        joined, step = level.join(small(large), "bucket"), step // 2 if step > 1 else step - 1
-        parts = joined.drop("bytes", "least").mapInArrow(_split(length, wide, step), _PART_KINDS) if step > 0 else joined.mapInArrow(_dealt(index_bytes), _PART_KINDS)
-        step = step or -1
-        parts = written(parts, "parts")
+        step = max(1, step // 2)
+        parts = written(level.join(small(large), "bucket").mapInArrow(_split(length, step), _PART_KINDS), "parts")
         new = parts.select("bucket", "content", F.col("home").alias("b"), F.col("whole").alias("c"), F.col("base").alias("at"))
         if homes is None:
             homes = new.select("bucket", "content", F.col("b").alias("home"), F.col("c").alias("whole"), F.col("at").alias("base"))
@@ -400,38 +397,58 @@ def _found(pieces: DataFrame, lengths: tuple[int, ...], index_bytes: int) -> Dat
             old = homes.select(F.col("bucket").alias("b"), F.col("content").alias("c"), "home", "whole", "base")
             homes = new.join(old, ["b", "c"]).select("bucket", "content", "home", "whole", (F.col("base") + F.col("at")).alias("base"))
         homes = written(homes, "homes")
-        level = written(parts.groupBy("bucket", "content").agg(F.sum("copies").alias("copies"), F.first("n").alias("n"), F.first("piece").alias("piece")), "pieces")
+        level = written(parts.groupBy("bucket", "content").agg(F.sum("copies").alias("copies"), F.first("piece").alias("piece")), "pieces")
+
+
+def _hits(segments_: DataFrame) -> DataFrame:
+    """(key, rows, lo, n, bucket, content) of the segments whose bucket isn't theirs alone.
+
+    A bucket that many segments share is summed up before it is shuffled, and can be split where it is joined.
+    """
+    cuts = segments_.where(F.size("lo") > 0).select("key", "rows", F.explode(F.arrays_zip(*_LISTS)).alias("s")).select("key", "rows", "s.*")
+    shared = written(cuts.groupBy("bucket").agg(F.sum("rows").alias("n")).where("n > 1").select("bucket"), "shared")
+    return written(cuts.join(shared, "bucket"), "hits")
+
+
+def _marks(hits: DataFrame, texts: DataFrame, length: int, index_bytes: int) -> DataFrame:
+    """(key, marks): the starts of repeated windows in the texts (key, text)."""
+    kinds = hits.groupBy("bucket", "content").agg(F.sum("rows").alias("copies"), F.min(F.struct("key", "lo", "n")).alias("one"))
+    wanted = kinds.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("bucket", "content", "copies", "one.lo", "one.n")).alias("wanted"))
+    pieces = written(texts.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_pieces(length), _PIECE_KINDS), "pieces")
+    found = _found(pieces, length, index_bytes)
+    spans = hits.select("key", "lo", F.col("bucket").alias("home"), F.col("content").alias("whole")).join(found, ["home", "whole"])
+    # equal rows have equal spans
+    marks = spans.select("key", _shifted("marks", "lo").alias("marks")).groupBy("key").agg(F.flatten(F.collect_set("marks")).alias("marks"))
+    marks = written(marks, "marks")
+    remove(pieces)
+    remove(hits)
+    return marks
 
 
 def _marked(docs: DataFrame, lengths: tuple[int, ...], index_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Digests of all rows (id, key, n_bytes, digest), and the rows with repeats (key, text, marks of window starts)."""
+    """Digests of all rows (id, key, n_bytes, digest), and the rows with repeats (key, text, marks: starts of windows of each length)."""
     id_type = docs.schema["id"].dataType.simpleString()
     keyed = docs.select("id", row_key("id", "text").alias("key"), "text")
-    lists = ", ".join(f"{c} array<{'int' if k == pa.int32() else 'long'}>" for c, k in _LISTS.items())
-    every = written(keyed.mapInArrow(_cut(lengths[0], lengths[-1]), f"id {id_type}, key {KEY}, n_bytes long, digest binary, {lists}"), "segments")
-
-    cuts = every.where(F.size("lo") > 0).select("key", F.explode(F.arrays_zip(*_LISTS)).alias("s")).select("key", "s.*")
-    # a bucket that many segments share is summed up before it is shuffled, and split where it is joined
-    shared = written(cuts.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("bucket"), "shared")
-    hits = written(cuts.join(small(shared), "bucket"), "hits")
-    kinds = hits.groupBy("bucket", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "lo", "n", "size")).alias("one"))
-    wanted = kinds.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("bucket", "content", "copies", "one.lo", "one.n", "one.size")).alias("wanted"))
-
-    texts = keyed.select("key", "text").join(small(written(hits.select("key").distinct(), "keys")), "key")
-    twice = written(every.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), "twice")
+    every = written(keyed.mapInArrow(_cut(lengths[0]), f"id {id_type}, key {KEY}, n_bytes long, digest binary, {_LIST_KINDS}"), "segments")
+    hits = _hits(every.withColumn("rows", F.lit(1).cast("long")))
+
+    texts = keyed.select("key", "text").join(small(written(hits.select("key").distinct(), "keys")), "key").withColumn("rows", F.lit(1).cast("long"))
+    twice = written(every.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "twice")
     if twice.limit(1).count():  # equal rows are one here
-        texts = texts.join(small(twice), "key", "left_anti").union(texts.join(small(twice), "key").dropDuplicates(["key"]))
+        again = texts.drop("rows").join(small(twice), "key").dropDuplicates(["key"])
+        texts = texts.join(small(twice.select("key")), "key", "left_anti").unionByName(again)
     texts = written(texts, "texts")
-    pieces = written(texts.join(wanted, "key").select("text", "wanted").mapInArrow(_pieces, _PIECE_KINDS), "pieces")
-    found = _found(pieces, lengths, index_bytes)
-    remove(pieces)
+    marks = _marks(hits, texts, lengths[0], index_bytes)
+    out = texts.join(marks, "key")
+    for short, length in zip(lengths, lengths[1:]):
+        within = written(out.mapInArrow(_cut_within(short, length), f"key {KEY}, rows long, {_LIST_KINDS}"), "segments")
+        longer = _marks(_hits(within), texts, length, index_bytes).withColumnRenamed("marks", "longer")
+        out = out.join(longer, "key", "left")
+    return every.select("id", "key", "n_bytes", "digest"), out
 
-    spans = hits.select("key", "lo", F.col("bucket").alias("home"), F.col("content").alias("whole")).join(found, ["home", "whole"])
-    spans = spans.groupBy("key").agg(F.collect_set(F.struct("lo", "marks")).alias("spans"))
-    marks = F.flatten(F.transform("spans", lambda s: F.transform(s["marks"], lambda m: F.struct(m["k"].alias("k"), (m["a"] + s["lo"]).alias("a"), (m["b"] + s["lo"]).alias("b")))))
-    marks = written(spans.select("key", marks.alias("marks")), "marks")
-    remove(hits)
-    return every.select("id", "key", "n_bytes", "digest"), texts.join(marks, "key")
+
+def _pairs(marks: pa.ListScalar) -> list[tuple[int, int]]:
+    return list(zip(*(x.to_pylist() for x in marks.values.flatten()))) if marks.is_valid else []
 
 
 def byte_spans(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -445,21 +462,17 @@ def byte_spans(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, in
     return [tuple(x) for x in out]
 
 
-def _kept(lengths: tuple[int, ...], length: int):
-    own = lengths.index(length)
-
+def _kept(lengths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, rows = batch.slice(at, 500), []
-                for text, marks in zip(part.column("text"), part.column("marks")):
-                    b, (k, first, after) = _bytes(text.as_py()), (x.to_numpy() for x in marks.values.flatten())
-                    found = [byte_spans(list(zip(first[k == i].tolist(), after[k == i].tolist())), x) for i, x in enumerate(lengths)]
-                    spans = found[own]
-                    kept = b"".join(b[x:y] for x, y in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(b)]))
-                    rows.append((len(b) - len(kept), len(spans), sum(y - x for x, y in found[0]), kept))
-                columns = zip(*rows) if rows else [()] * 4
-                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["key", "n_removed", "n_spans", "n_passage_bytes", "kept"])
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            rows = []
+            for text, *marks in zip(*(batch.column(c) for c in ("text", "marks", "longer")[: 1 + len(lengths)])):
+                b, found = _bytes(text.as_py()), [byte_spans(_pairs(m), length) for m, length in zip(marks, lengths)]
+                spans = found[-1]
+                kept = b"".join(b[x:y] for x, y in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(b)]))
+                rows.append((len(b) - len(kept), len(spans), sum(y - x for x, y in found[0]), kept))
+            columns = zip(*rows) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["key", "n_removed", "n_spans", "n_passage_bytes", "kept"])
 
     return run
 
@@ -480,14 +493,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     Each window of ``passage`` bytes has one anchor (a minimiser), so equal windows meet in one bucket. Windows
     whose bucket is theirs alone are unique. One piece of each other kind, with the number of its copies, goes into
     run-length indexes over whole buckets, whose matching statistics mark the windows. A bucket of more than
-    ``index_bytes`` is split by the bytes that its windows share and indexed likewise, so no task holds more.
+    ``index_bytes`` is split by the bytes that its windows share and indexed likewise, so no task holds more. Longer
+    repeats are sought in the same way, in what shorter ones cover.
     """
     if passage is not None and passage > length:
         raise ValueError("passages are no longer than what goes")
     lengths = tuple(sorted({passage or length, length}))
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     every, marked = _marked(source, lengths, index_bytes)
-    return every, marked.mapInArrow(_kept(lengths, length), f"key {KEY}, n_removed long, n_spans long, n_passage_bytes long, kept binary")
+    return every, marked.mapInArrow(_kept(lengths), f"key {KEY}, n_removed long, n_spans long, n_passage_bytes long, kept binary")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -472,35 +472,58 @@ def test_warc_reader_verifies():
 # 8
 
 
-def test_top_k(spark):
+def brute_top(rows, asks, k):
+    """By the query's id, all its results as sorted lists; rows are (id, integers)."""
+    out = defaultdict(list)
+    for n, (q, x) in asks:
+        best = sorted((-int(sum(int(a) * int(b) for a, b in zip(x, y))), i) for m, (i, y) in enumerate(rows) if m != n and len(x) == len(y))[:k]
+        out[q].append([(r + 1, i, -s) for r, (s, i) in enumerate(best)])
+    return {q: sorted(v) for q, v in out.items()}
+
+
+@pytest.mark.parametrize("portion", [vafile.PASS_BYTES, 2000])
+def test_top_k(spark, portion, monkeypatch):
+    monkeypatch.setattr(vafile, "PASS_BYTES", portion)
+    monkeypatch.setattr(vafile, "QUERIES", 7)
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in r.normal(size=8)], "k") for i in range(300)]
     rows += [(300 + i, rows[i][1], "k") for i in range(40)]  # ties
-    rows += [(400, None, "k"), (401, [1.0] * 7 + [None], "k"), (402, [float("nan")] * 8, "k"), (403, [float("inf")] * 8, "k"), (404, [], "k"), (405, [1.0, 2.0], "k"), (None, [1.0] * 8, "k"), (0, rows[0][1], "k")]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string").repartition(5)
-    got = defaultdict(list)
-    for x in vafile.top_k(df, df.where("vec_id % 10 = 0"), 10).orderBy("query_id", "rank").collect():
+    rows += [(0, rows[0][1], "k"), (10, rows[3][1], "k")]  # a repeated row, and another row of the same id
+    odd = [(400, None, "k"), (401, [1.0] * 7 + [None], "k"), (402, [float("nan")] * 8, "k"), (403, [float("inf")] * 8, "k"), (404, [], "k"), (None, [1.0] * 8, "k")]
+    two = [(500, [1.0, 2.0], "k"), (501, [3.0, -1.0], "k")]
+    df = spark.createDataFrame(rows + odd + two, "vec_id bigint, embedding array<float>, score string").repartition(5)
+    got, sound = defaultdict(list), [(i, np.floor(np.float32(v).astype(np.float64) * 1024)) for i, v, _ in rows + two]
+    for x in vafile.top_k(df, df.where("vec_id % 10 = 0"), 10).collect():
         got[x.query_id].append((x.rank, x.vec_id, x.score))
-    sound = {i: np.floor(np.float32(v).astype(np.float64) * 1024).astype(np.int64) for i, v, _ in rows if i is not None and i < 400}
-    for q, x in sound.items():
-        if q % 10 == 0:
-            best = sorted((-int(x @ y), i) for i, y in sound.items() if i != q)[:10]
-            assert got[q] == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert set(got) == {q for q in sound if q % 10 == 0}
+    want = brute_top(sound, [(n, row) for n, row in enumerate(sound) if row[0] % 10 == 0], 10)
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(x for one in v for x in one) for q, v in want.items()}
     few = df.where("vec_id in (1, 2)")
     assert vafile.top_k(few, few, 10).count() == 2 and vafile.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e300, 1.0]), (1, [2.0**60, -1.0]), (2, [3e9, 5.0]), (3, [-1e9, 7.0]), (4, [0.5, 1e17])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(x.query_id, x.vec_id): x.score for x in vafile.top_k(df, df, 4).collect()}
+    for i, x in rows:
+        for j, y in rows:
+            if i != j:
+                exact = sum(int(min(a * 1024, 2.0**500) // 1) * int(min(b * 1024, 2.0**500) // 1) for a, b in zip(x, y))
+                assert got[i, j] == max(-(2**63), min(2**63 - 1, exact))
+
+
 def test_bounds_save_reading():
     r = np.random.default_rng(4)
-    exact = np.floor(r.normal(size=(3000, 16)) * 1024).astype(np.int64)
-    low, width = exact.min(0).astype(float), (exact.max(0) - exact.min(0) + 1) / vafile.CELLS
+    exact = np.floor(r.normal(size=(3000, 16)) * 1024)
+    low, width = exact.min(0), (exact.max(0) - exact.min(0) + 1) / vafile.CELLS
     cells = np.floor((exact - low) / width).clip(0, vafile.CELLS - 1).astype(np.uint8)
+    lower, upper = vafile.bounds(exact[:5], cells, low, width)
+    true = exact[:5] @ exact.T
+    assert (lower <= true).all() and (true <= upper).all()
     read = []
-    vafile.search(exact[:5], np.arange(5), np.arange(3000), cells, low, width, exact, 10, read)
+    for i in range(5):
+        vafile.best_of(exact[i], np.arange(3000), upper[i], -np.inf, exact, 10, read)
     assert max(read) < 300
-    with pytest.raises(OverflowError):
-        vafile.products(np.full((1, 4), 2**31), np.full((1, 4), 2**31))
 
 
 # 9

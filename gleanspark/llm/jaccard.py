@@ -43,7 +43,7 @@ def _sampled(k: int):
 
 def _frequent(keyed: DataFrame, k: int) -> np.ndarray:
     """A bitmap of 2**PLACES bits: the places of shingles that occur in several of about SAMPLE rows."""
-    sample = keyed.where(F.pmod("key", F.lit(max(1, keyed.count() // SAMPLE))) == 0).select("text")
+    sample = keyed.where(F.pmod(F.xxhash64("key"), F.lit(max(1, keyed.count() // SAMPLE))) == 0).select("text")
     found = sample.mapInArrow(_sampled(k), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     at = found.select("place").toPandas()["place"].to_numpy(np.int64)
     bits = np.zeros(1 << PLACES, np.uint8)

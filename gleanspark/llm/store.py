@@ -9,9 +9,12 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+#: Rows that a Python worker gets at once: whole texts, some of them long.
+ARROW_ROWS = 1000
 _held: dict = {}
 
 
@@ -20,6 +23,7 @@ def held(name: tuple, make):
     if name not in _held:
         _held.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         _held[name] = make()
@@ -69,6 +73,7 @@ def sweep(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: executors may be lost, its files stay."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     path = track(spark, new_path(spark, name))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

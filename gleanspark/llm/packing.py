@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -14,39 +16,92 @@ from gleanspark.llm.store import KEY, held, plain, ranked, row_key, written
 
 #: The token after each document.
 END = 1
-#: A linear program takes at most this many rounds of pricing; what it has not priced by then is packed as well, only less tightly.
-ROUNDS = 60
+#: Words whose ids a worker remembers, and characters of a text that is held whole against the library.
+REMEMBERED, CHECKED = 500_000, 20_000
+#: How near to the least number of padded tokens a plan must be proven to be.
+GAP = 0.002
+#: How often new patterns are priced before the solution is rounded.
+TURNS = 30
 
 
-def tokenizer(path: str):
-    return held(("tokenizer", path), lambda: load_tokenizer(path))
+class Encoder(dict):
+    """Ids of texts by the ``tokenizers`` library, as little-endian bytes; remembers those of words, and asks once for each.
 
+    A byte-level vocabulary splits a text into words by one pattern and encodes each alone, so what the library says
+    of words holds for texts. The pattern's classes of characters are taken from the library too: a text with a
+    character that it puts elsewhere than ``regex`` does goes to the library whole, as do all texts of files of
+    another kind.
+    """
 
-def load_tokenizer(path: str):
-    """The vocabulary of a byte-level ``tokenizers`` file in the faster of the two libraries that read it, and in its own."""
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    to_byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in visible)}
-    special = {t["content"]: t["id"] for t in model["added_tokens"]}
-    ranks = {bytes(to_byte[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return fast, Tokenizer.from_file(path)
-
-
-def encode(texts: list[str], path: str) -> list[list[int]]:
-    """Ids of the texts as the file's own library gives them; the shortest text of each call is held against it."""
-    fast, own = tokenizer(path)
-    out = [fast.encode(t, allowed_special="all") for t in texts]
-    if texts:
-        i = min(range(len(texts)), key=lambda x: len(texts[x]))
-        if out[i] != own.encode(texts[i], add_special_tokens=False).ids:
-            raise ValueError(f"the tokenizers library encodes {texts[i][:80]!r} otherwise")
-    return out
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.own = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        split, added = model["pre_tokenizer"] or {}, model["added_tokens"]
+        self.by_words = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not model["normalizer"] and not model["truncation"] and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
+        # fixed values: the splitting pattern of byte-level vocabularies; for ASCII alone it needs no Unicode classes
+        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+        self.classes = [(regex.compile(c), x) for c, x in ((r"\p{L}", "a"), (r"\p{N}", "1"), (r"[^\s\p{L}\p{N}]", "."))]
+        self.sound: set[str] = set()
+        self.odd: set[str] = set()
+        self.learn_classes(set(map(chr, range(128))))
+        self.ascii_odd = frozenset(self.odd)
+
+    def learn_classes(self, characters: set[str]) -> None:
+        for c in characters:
+            theirs = [len(self.own.pre_tokenizer.pre_tokenize_str(x + c)) == 1 for _, x in self.classes]
+            (self.sound if theirs == [bool(k.match(c)) for k, _ in self.classes] else self.odd).add(c)
+
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text, None if only the library can tell."""
+        if not self.by_words:
+            return None
+        if text.isascii():
+            if self.ascii_odd and not self.ascii_odd.isdisjoint(text):
+                return None
+            pattern = self.ascii
+        else:
+            characters = set(text)
+            self.learn_classes(characters - self.sound - self.odd)
+            if self.odd and not self.odd.isdisjoint(characters):
+                return None
+            pattern = self.pattern
+        if self.special is None or not self.special.search(text):
+            return pattern.findall(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [*pattern.findall(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + pattern.findall(text[at:])
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = list(map(self.words, texts))
+        new = set().union(*(w for w in split if w is not None)).difference(self.keys())
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = set().union(*(w for w in split if w is not None))
+        asked = list(new)
+        self.update(zip(asked, self.library(asked)))
+        whole = iter(self.library([t for t, w in zip(texts, split) if w is None]))
+        out = [next(whole) if w is None else b"".join(map(self.__getitem__, w)) for w in split]
+        # one text of each call, whichever, is held whole against the library, so that another version can't go unnoticed
+        if texts:
+            i = sum(map(len, texts)) % len(texts)
+            if len(texts[i]) < CHECKED and self.library([texts[i]])[0] != out[i]:
+                raise ValueError(f"the tokenizers library encodes {texts[i][:80]!r} otherwise")
+        return out
+
+
+def encoder(path: str) -> Encoder:
+    return held(("tokenizer", path), lambda: Encoder(path))
 
 
 def _pieces(path: str, size: int):
@@ -57,13 +112,13 @@ def _pieces(path: str, size: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows, values = [], []
-                for i, ids in enumerate(encode([t or "" for t in part.column("text").to_pylist()], path)):
-                    ids = np.array([*ids, END], "<u4")
-                    for start in range(0, len(ids), size):
-                        piece = ids[start : start + size]
-                        crc = [zlib.crc32(x.tobytes()) for x in (piece, piece[:half], piece[half:])]
+                for i, ids in enumerate(encoder(path).encode([t or "" for t in part.column("text").to_pylist()])):
+                    ids += END.to_bytes(4, "little")
+                    for start in range(0, len(ids), 4 * size):
+                        piece = ids[start : start + 4 * size]
+                        crc = map(zlib.crc32, (piece, piece[: 4 * half], piece[4 * half :]))
                         rows.append(i)
-                        values.append((start, len(piece), *crc, len(ids)))
+                        values.append((start // 4, len(piece) // 4, *crc, len(ids) // 4))
                 columns = [pa.array(x, pa.int64()) for x in (zip(*values) if values else [[]] * 6)]
                 rows = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("key").take(rows), *columns], ["id", "key", "start", "length", "crc", "crc_first", "crc_rest", "doc_tokens"])
@@ -76,8 +131,11 @@ def padded(fill: int, size: int) -> int:
     return fill if fill and not fill & (fill - 1) else size
 
 
-def price(duals: np.ndarray, size: int, most: int = 16) -> list[dict[int, int]]:
-    """The ``most`` patterns that gain most: a knapsack over fills, each fill at the cost of its padded length."""
+def price(duals: np.ndarray, size: int, most: int = 200) -> tuple[list[dict[int, int]], float]:
+    """Patterns that gain most or lose least, of each length at most one that has it: a knapsack over fills, each fill at the cost of its padded length.
+
+    Also the most that any pattern is worth, for its cost.
+    """
     best, last = np.full(size + 1, -np.inf), np.zeros(size + 1, np.int64)
     best[0] = 0
     worth = np.flatnonzero(duals > 1e-12)
@@ -89,27 +147,37 @@ def price(duals: np.ndarray, size: int, most: int = 16) -> list[dict[int, int]]:
             i = int(np.argmax(options))
             best[fill], last[fill] = options[i], worth[i]
     costs = np.array([padded(f, size) for f in range(size + 1)], float)
-    gains, out = best - costs, []
-    for fill in np.argsort(-gains[1:])[:most] + 1:
-        if gains[fill] > 1e-6 * size:
-            pattern: dict[int, int] = {}
-            while fill:
-                pattern[int(last[fill])] = pattern.get(int(last[fill]), 0) + 1
-                fill -= int(last[fill])
+    worth_most = float((best[1:] / costs[1:]).max())
+    # the best fill up to each, and with it the best pattern around one item of each length
+    top = np.maximum.accumulate(best)
+    at = np.maximum.accumulate(np.where(best == top, np.arange(size + 1), 0))
+    found = [(gain[i] + top[size - x] - size, int(x), int(at[size - x])) for i, x in enumerate(worth)]
+    found += [(best[f] - costs[f], 0, f) for f in range(1, size) if costs[f] < size and np.isfinite(best[f])]
+    out, seen = [], set()
+    for _, x, fill in sorted(found, reverse=True)[:most]:
+        pattern: dict[int, int] = {x: 1} if x else {}
+        while fill:
+            pattern[int(last[fill])] = pattern.get(int(last[fill]), 0) + 1
+            fill -= int(last[fill])
+        key = tuple(sorted(pattern.items()))
+        if key not in seen:
+            seen.add(key)
             out.append(pattern)
-    return out
+    return out, worth_most
 
 
-def cutting_stock(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> tuple[dict[int, int], list[tuple[dict[int, int], int]]]:
+def cutting_stock(counts: dict[int, int], size: int, gap: float = GAP) -> tuple[dict[int, int], list[tuple[dict[int, int], int]]]:
     """How many items of each length to halve, and patterns of lengths with how often to use each.
 
     Every item of the histogram ``counts`` is placed once. An item longer than half of ``size`` may be cut there:
     its first half is a sequence without padding (``size`` being a power of two), its rest an item like others.
 
     Column generation: the restricted linear program over the columns so far is solved by the revised simplex
-    method, its duals price new patterns by a knapsack dynamic program and the cuts, until none gains or ``rounds``
-    are over. Patterns that need little padding are used as often as the solution says, rounded down; what is left
-    over is packed by fills, largest first.
+    method, its duals price new patterns by a knapsack dynamic program and the cuts. After every TURNS times of
+    pricing the solution is rounded: patterns that need little padding are used as often as it says, rounded down, and
+    what is left over is packed by fills, largest first. This goes on until no column gains or the solution stands
+    still, or the rounded plan is proven to be within ``gap``, or one sequence, of the least there can be: the items'
+    sum is a bound from below, as are the duals divided by the most that any column is worth, for its cost.
     """
     half = size // 2
     lengths = sorted(set(counts) | {x - half for x in counts if x > half})
@@ -120,80 +188,100 @@ def cutting_stock(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> tu
     basis = [{x: size // x} for x in lengths]
     inverse = np.diag([1.0 / (size // x) for x in lengths])
     cost = np.array([float(padded(x * (size // x), size)) for x in lengths])
-    amount = inverse @ need
-
-    def prices() -> np.ndarray:
-        duals = np.zeros(size + 1)
-        duals[lengths] = np.maximum(cost @ inverse, 0)
-        return duals
-
-    for _ in range(rounds):
-        duals = prices()
-        columns = price(duals, size)
-        if long:
-            x = max(long, key=lambda x: duals[x] - duals[x - half])
-            columns.append({x: 1, x - half: -1})
-        entered = 0
-        for pattern in columns:
-            duals = prices()
-            price_of = half if min(pattern.values()) < 0 else padded(sum(x * n for x, n in pattern.items()), size)
-            if sum(duals[x] * n for x, n in pattern.items()) - price_of <= 1e-6 * size:
-                continue
-            step = inverse[:, [at[x] for x in pattern]] @ np.array(list(pattern.values()), float)
-            ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
-            out = int(np.argmin(ratio))
-            if ratio[out] == np.inf:
+    amount, y, total = inverse @ need, cost @ inverse, sum(x * n for x, n in counts.items())
+
+    def enter(pattern: dict[int, int]) -> bool:
+        """Takes a column into the basis if it gains at the present duals."""
+        nonlocal y, amount
+        price_of = half if min(pattern.values()) < 0 else padded(sum(x * n for x, n in pattern.items()), size)
+        where, n = [at[x] for x in pattern], np.array(list(pattern.values()), float)
+        gain = float(y[where] @ n) - price_of
+        if gain <= 1e-6 * size:
+            return False
+        step = inverse[:, where] @ n
+        ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(np.argmin(ratio))
+        if ratio[out] == np.inf:
+            return False
+        row = inverse[out] / step[out]
+        rows, cols = np.flatnonzero(np.abs(step) > 1e-12), np.flatnonzero(row)
+        inverse[np.ix_(rows, cols)] -= np.outer(step[rows], row[cols])
+        inverse[out] = row
+        y = y - gain * row
+        amount = amount - step * ratio[out]
+        amount[out] = ratio[out]
+        amount = np.maximum(amount, 0)
+        basis[out], cost[out] = pattern, price_of
+        return True
+
+    def rounded() -> tuple[dict[int, int], list[tuple[dict[int, int], int]]]:
+        left, halved, plan = {x: counts.get(x, 0) for x in lengths}, {}, []
+        for pattern, times in sorted(zip(basis, amount), key=lambda u: min(u[0].values())):  # cuts first
+            fill = sum(x * n for x, n in pattern.items())
+            if min(pattern.values()) > 0 and padded(fill, size) - fill > size // 128:
                 continue
-            row = inverse[out] / step[out]
-            inverse -= np.outer(step, row)
-            inverse[out] = row
-            amount -= step * ratio[out]
-            amount[out] = ratio[out]
-            np.maximum(amount, 0, out=amount)
-            basis[out], cost[out] = pattern, price_of
-            entered += 1
-        if not entered:
-            break
-    left, halved, plan = {x: counts.get(x, 0) for x in lengths}, {}, []
-    uses = sorted(zip(basis, amount), key=lambda u: min(u[0].values()))  # cuts first
-    for pattern, times in uses:
-        fill = sum(x * n for x, n in pattern.items())
-        if min(pattern.values()) > 0 and padded(fill, size) - fill > size // 128:
-            continue
-        times = min([int(times + 1e-6), *(left[x] // n for x, n in pattern.items() if n > 0)])
-        if times:
-            for x, n in pattern.items():
-                left[x] -= n * times
-            if min(pattern.values()) < 0:
-                halved[max(pattern)] = times
-            else:
-                plan.append((pattern, times))
-    return halved, plan + _leftover(left, size, halved)
+            times = min([int(times + 1e-6), *(left[x] // n for x, n in pattern.items() if n > 0)])
+            if times:
+                for x, n in pattern.items():
+                    left[x] -= n * times
+                if min(pattern.values()) < 0:
+                    halved[max(pattern)] = times
+                else:
+                    plan.append((pattern, times))
+        return halved, plan + _leftover(left, size, halved)
+
+    lower, entered, value = float(total), 0, np.inf
+    for turn in itertools.count(1):
+        y, before = cost @ inverse, entered
+        # duals near the lengths themselves, by which no pattern is worth more than it costs, price fuller patterns
+        for still in (0.95, 0.7, 0.0):
+            duals = np.zeros(size + 1)
+            duals[lengths] = np.maximum(still * np.array(lengths) + (1 - still) * y, 0)
+            columns, worth_most = price(duals, size)
+            if long:
+                x = max(long, key=lambda x: duals[x] - duals[x - half])
+                worth_most = max(worth_most, (duals[x] - duals[x - half]) / half)
+                columns += [{x: 1, x - half: -1} for x in sorted(long, key=lambda x: y[at[x - half]] - y[at[x]])[:100]]
+            lower = max(lower, float(duals[lengths] @ need) / worth_most)
+            entered += sum(map(enter, columns))
+            if entered > before:
+                break
+        if entered == before or turn % TURNS == 0:
+            halved, plan = rounded()
+            value, last = float(cost @ amount), value
+            if entered == before or value > last * (1 - 1e-6) or tokens_of(halved, plan, size) <= (1 + gap) * lower + size:
+                return halved, plan
+
+
+def tokens_of(halved: dict[int, int], plan: list[tuple[dict[int, int], int]], size: int) -> int:
+    """Tokens of all sequences of a plan, padding included."""
+    return sum(halved.values()) * (size // 2) + sum(padded(sum(x * n for x, n in pattern.items()), size) * times for pattern, times in plan)
 
 
 def _leftover(left: dict[int, int], size: int, halved: dict[int, int]) -> list[tuple[dict[int, int], int]]:
     """Patterns for the items that rounding left, largest first: the fill with least padding, by dynamic programming.
 
-    A long item for which no good fill is left is halved, in ``halved``.
+    Fills that can be reached are the bits of a number; adding an item shifts them. A long item for which no good
+    fill is left is halved, in ``halved``.
     """
     plan, half = [], size // 2
     left = {x: n for x, n in left.items() if n}
     while left:
         first = max(left)
         room = size - first
-        reach: dict[int, tuple[int, int]] = {0: (0, 0)}  # fill: last length, and how many of it
+        reach, within, trail = 1, (1 << room + 1) - 1, []
         for x in sorted(left, reverse=True):
-            n = left[x] - (x == first)
-            if x > room or n <= 0:
-                continue
-            for fill in sorted(reach):
-                for k in range(1, min(n, (room - fill) // x) + 1):
-                    if fill + k * x in reach:
-                        break
-                    reach[fill + k * x] = (x, k)
-            if room in reach:
-                break
-        fill = min(reach, key=lambda f: (padded(first + f, size) - first - f, -f))
+            n = min(left[x] - (x == first), room // x)
+            if n > 0:
+                trail.append((x, reach))
+                while n:
+                    k = (n + 1) // 2  # all numbers up to n are sums of these
+                    reach |= reach << x * k & within
+                    n -= k
+                if reach >> room & 1:
+                    break
+        fills = [reach.bit_length() - 1] + [f for f in ((1 << i) - first for i in range(first.bit_length() - 1, size.bit_length())) if f >= 0 and reach >> f & 1]
+        fill = min(fills, key=lambda f: (padded(first + f, size) - first - f, -f))
         if first > half and padded(first + fill, size) - first - fill > size // 64:
             left[first] -= 1
             halved[first] = halved.get(first, 0) + 1
@@ -202,10 +290,10 @@ def _leftover(left: dict[int, int], size: int, halved: dict[int, int]) -> list[t
                 del left[first]
             continue
         pattern = {first: 1}
-        while fill:
-            x, k = reach[fill]
-            pattern[x] = pattern.get(x, 0) + k
-            fill -= x * k
+        for x, before in reversed(trail):
+            while not before >> fill & 1:
+                pattern[x] = pattern.get(x, 0) + 1
+                fill -= x
         times = min(left[x] // n for x, n in pattern.items())
         plan.append((pattern, times))
         for x, n in pattern.items():

@@ -641,10 +641,18 @@ def test_packing(docs, empty, size):
     assert packing.pack(empty, packing.vocabulary(), size).count() == 0
 
 
-def test_special_strings_encode_as_the_library_does():
-    texts = ["<|endoftext|> and <|endoftext", "a<|endoftext|>b", "  \n\n x  "]
-    own = packing.tokenizer(packing.vocabulary())[1]
-    assert packing.encode(texts, packing.vocabulary()) == [own.encode(t, add_special_tokens=False).ids for t in texts]
+def test_ids_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    own, encoder = Tokenizer.from_file(packing.vocabulary()), packing.Encoder(packing.vocabulary())
+    r = random.Random(12)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "é", "ß", "ʼ", "'s", "'LL", "don't", "1", "²", "Ⅷ", "½", "٣", "中文", "日本語", "한국", "😀", "\u200b", "\u0301", "\U0001e900", "\u1c89", "<|endoftext|>", "<|endoftext", "...", "_", "\x00", "the"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(3000)] + [t or "" for _, t, *_ in corpus()]
+    texts += ["".join(chr(c) for c in range(a, a + 500) if not 0xD800 <= c < 0xE000) for a in range(0, 0x3000, 500)]
+    want = [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for at in range(0, len(texts), 300):
+        assert encoder.encode(texts[at : at + 300]) == want[at : at + 300]
+    assert encoder.encode([]) == []
 
 
 def test_cutting_stock_places_all_with_little_padding():

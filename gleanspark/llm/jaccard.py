@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gleanspark.llm.shingles import PLACES, Fragments, WordHashes, places, shingle_set
-from gleanspark.llm.store import KEY, components, held, plain, remove, row_key, small, written
+from gleanspark.llm.store import KEY, components, held, plain, remove, row_key, small, unused, written
 
 #: Sets compared at once: a task holds two blocks of this many.
 BLOCK = 256
@@ -60,13 +60,13 @@ def _sets(k: int, percent: int, frequent):
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), k, words)
                 sizes.append(len(s))
-                classes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
+                classes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(cut.signatures(s).view(np.int64))
                 bits.append(bitmap(s, max(64, 1 << (cut.lower(cut.class_of(len(s)) + 1)).bit_length())).tobytes() if len(sigs[-1]) else None)
             lengths = np.cumsum([0, *map(len, sigs)])
             values = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(values, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), lists], ["id", "key", "n", "class", "bits", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bits, pa.binary()), lists], ["id", "key", "n", "same", "bits", "sigs"])
 
     return run
 
@@ -100,9 +100,16 @@ def _near(percent: int):
     out, and nothing that is linked is ever told apart. Very large buckets are joined without a look.
     """
 
-    def edges(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, int]]:
+    def join(top: dict[int, int], a: int, b: int) -> bool:
+        a, b = _root(top, a), _root(top, b)
+        if a != b:
+            top[a] = b
+        return a != b
+
+    def edges(top: dict[int, int], ids: np.ndarray, sizes: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, int]]:
+        ids = ids.tolist()
         if len(ids) > COMPARED:
-            yield from ((int(ids[0]), int(x)) for x in ids[1:])
+            yield from ((ids[0], x) for x in ids[1:] if join(top, ids[0], x))
             return
         width = min(map(len, bits))
         folded = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), 0) for b in bits])
@@ -112,26 +119,32 @@ def _near(percent: int):
             may = apart * (100 + percent) <= (100 - percent) * (sizes[i + 1 :] + sizes[i])
             for j in i + 1 + np.flatnonzero(may & (label[i + 1 :] != label[i])):
                 if label[j] != label[i]:
-                    yield int(ids[i]), int(ids[j])
                     label[label == label[j]] = label[i]
+                    if join(top, ids[i], ids[j]):
+                        yield ids[i], ids[j]
 
     def run(table: pa.Table) -> pa.Table:
         sig, ids, n = (table.column(c).to_numpy() for c in ("sig", "class", "n"))
         order = np.lexsort((ids, sig))
         sig, ids, n = sig[order], ids[order], n[order]
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])]
-        order, sig, ids, n = order[fresh], sig[fresh], ids[fresh], n[fresh]
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        bits, out = table.column("bits"), set()
+        bits, top, out = table.column("bits"), {}, []
         for a, b in zip(starts, np.r_[starts[1:], len(sig)]):
             if b - a > 1:
-                out.update(edges(ids[a:b], n[a:b], [bits[i].as_py() for i in order[a:b]]))
+                # buckets that share their members add nothing to one another's edges
+                out += edges(top, ids[a:b], n[a:b], [bits[i].as_py() for i in order[a:b]])
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+def _root(top: dict[int, int], x: int) -> int:
+    while top.get(x, x) != x:
+        top[x] = x = top.get(top[x], top[x])
+    return x
+
+
 def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -177,15 +190,9 @@ def _linked(percent: int):
         link = 100 * both >= percent * union
         if same:
             np.fill_diagonal(link, False)
-        top = {}
-
-        def find(x):
-            while top.get(x, x) != x:
-                top[x] = x = top.get(top[x], top[x])
-            return x
-
+        top: dict[int, int] = {}
         for i, j in zip(*np.nonzero(link)):
-            p, q = find(ids_a[i]), find(ids_b[j])
+            p, q = _root(top, ids_a[i]), _root(top, ids_b[j])
             if p != q:
                 top[p] = q
                 yield ids_a[i], ids_b[j], 0
@@ -232,26 +239,30 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
     keyed = source.select("id", row_key("id", "text").alias("key"), "text")
     id_type = source.schema["id"].dataType.simpleString()
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(keyed, k))
-    every = written(keyed.mapInArrow(_sets(k, percent, frequent), f"id {id_type}, key {KEY}, n long, class long, bits binary, sigs array<long>"), "sets")
-
-    pairs = every.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "class")
-    shared = written(pairs.groupBy("sig").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead <> last").select("sig", "lead"), "shared")
-    members = written(pairs.join(small(shared), "sig"), "members")
-    info = written(every.where("bits is not null").dropDuplicates(["class"]).select("class", "n", "bits"), "bitmaps")
-    stars = members.where("class <> lead").select("class", "lead").distinct()
+    every = written(keyed.mapInArrow(_sets(k, percent, frequent), f"id {id_type}, key {KEY}, n long, same binary, bits binary, sigs array<long>"), "sets")
+    # equal sets are one class from here on, with a number of its own
+    classes = every.where("same is not null").groupBy("same").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sigs").alias("sigs"))
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+
+    pairs = classes.where(F.size("sigs") > 0).select(F.explode(F.array_distinct("sigs")).alias("sig"), "class")
+    shared = written(pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lead")).where("n > 1").select("sig", "lead"), "shared")
+    led = written(pairs.join(small(shared), "sig"), "members")
+    remove(shared)
+    info = classes.select("class", "n", "bits")
+    stars = led.where("class <> lead").select("class", "lead").distinct()
     stars = stars.join(info, "class").join(info.select(F.col("class").alias("lead"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "lead")
     stars = written(stars.mapInArrow(_may(percent), "class long, lead long, may boolean"), "stars")
     # where a member can't be linked to its bucket's first, any two of the members may be
-    apart = written(members.join(small(written(stars.where("not may").select("class", "lead"), "apart")), ["class", "lead"]).select("sig").distinct(), "buckets")
-    split = written(members.join(small(apart), "sig").select("sig", "class"), "split")
+    apart = written(led.join(small(written(stars.where("not may").select("class", "lead"), "apart")), ["class", "lead"]).select("sig").distinct(), "buckets")
+    split = written(led.join(small(apart), "sig").select("sig", "class"), "split")
+    remove(led)
     tasks = max(1, split.count() // 20_000)
     split = split.join(info, "class").withColumn("task", F.pmod(F.xxhash64("sig"), F.lit(tasks)))
     others = split.groupBy("task").applyInArrow(_near(percent), "a long, b long")
     stars = stars.where("may").select(F.col("class").alias("a"), F.col("lead").alias("b")).union(others).distinct()
     clusters = components(stars)
 
-    classes = every.where("class is not null").groupBy("class").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"))
-    wanted = clusters.select(F.col("root").alias("cluster"), F.col("node").alias("class")).join(classes, "class").select("cluster", "class", "copies", "key")
+    wanted = clusters.select(F.col("root").alias("cluster"), F.col("node").alias("class")).join(classes.select("class", "copies", "key"), "class").select("cluster", "class", "copies", "key")
     fetched = keyed.select("key", "text").join(small(written(wanted, "wanted")), "key").select("cluster", "class", "copies", "text")
     sets = written(fetched.mapInArrow(_tokens(k), "cluster long, class long, copies long, tokens binary").dropDuplicates(["class"]), "tokens")
 
@@ -267,12 +278,12 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
     links = found.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     lows = roots.join(classes.select(F.col("class").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("reach"))
     reach = roots.join(lows, "root").select(F.col("node").alias("class"), "reach", "root")
-    info = classes.select("class", "low", "copies").join(reach, "class", "left").join(links, "class", "left")
-    info = info.select("class", F.coalesce("root", "class").alias("component"), F.coalesce("reach", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    info = classes.select("same", "class", "low", "copies").join(reach, "class", "left").join(links, "class", "left")
+    info = info.select("same", F.coalesce("root", "class").alias("component"), F.coalesce("reach", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     remove(sets)
     return (
-        every.select("id", "key", "n", "class")
-        .join(info, "class", "left")
+        every.select("id", "key", "n", "same")
+        .join(info, "same", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("key").alias("row_key"), "component")
     )
 
@@ -282,21 +293,25 @@ def one_per_group(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str =
 
     Rows without shingles all stay. Of equal rows one stays.
     """
-    groups = jaccard_components(docs, percent, k, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("row_key").alias("_key"), "component").where("component is not null")
-    order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"))
+    key, twice, number = unused(docs, "_key", "_twice", "_n")
+    groups = jaccard_components(docs, percent, k, id_col, text_col).where("component is not null").select(F.col(f"`{id_col}`").alias("id"), "row_key", "component")
+    order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("row_key").alias("k"))
     first = groups.groupBy("component").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    many = written(groups.join(first, "component").select("_key", (F.col("_key") == F.col("one.k")).alias("_first")).groupBy("_key").agg(F.max("_first").alias("_first"), F.count(F.lit(1)).alias("_rows")), "many")
+    stays = F.col("row_key") == F.col("one.k")
+    many = written(groups.join(first, "component").groupBy("row_key").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("rows")), "many")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_key", row_key(id_col, text_col))
-    goes = small(many.where("not _first").select("_key"))
-    rest = keyed.join(goes, "_key", "left_anti")
-    twice = many.where("_first and _rows > 1").select("_key", F.lit(True).alias("_twice"))
-    if not twice.limit(1).count():
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    rest = keyed.join(small(many.where("not stays").select(F.col("row_key").alias(key))), key, "left_anti")
+    again = many.where("stays and rows > 1").select(F.col("row_key").alias(key), F.lit(True).alias(twice))
+    if not again.limit(1).count():
         return rest.select(names)
-    # equal rows, of which one stays
-    marked = rest.join(small(twice), "_key", "left")
-    single = marked.where("_twice").withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy("_key"))).where("_n = 1")
-    return marked.where("_twice is null").select(names).union(single.select(names))
+    # equal rows, of which one stays: the first of each task's, then the first of these
+    marked = rest.join(small(again), key, "left")
+    task = F.spark_partition_id()
+    some = marked.where(F.col(twice)).withColumn(number, task)
+    some = some.withColumn(number, F.row_number().over(W.partitionBy(key, number).orderBy(key))).where(F.col(number) == 1)
+    single = some.withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(key))).where(F.col(number) == 1)
+    return marked.where(F.col(twice).isNull()).select(names).union(single.select(names))
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:

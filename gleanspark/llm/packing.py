@@ -17,7 +17,9 @@ from gleanspark.llm.store import KEY, held, plain, ranked, row_key, written
 #: The token after each document.
 END = 1
 #: Words whose ids a worker remembers, and characters of a text that is held whole against the library.
-REMEMBERED, CHECKED = 500_000, 20_000
+REMEMBERED, CHECKED = 800_000, 20_000
+#: Words that the library encodes at once, each on a line of its own.
+TOGETHER = 1000
 #: How near to the least number of padded tokens a plan must be proven to be.
 GAP = 0.002
 #: How often new patterns are priced before the solution is rounded.
@@ -82,14 +84,29 @@ class Encoder(dict):
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, words: list[str]) -> None:
+        """Asks the library for the ids of words: line by line, as a line's end is a word of its own before and after all that isn't white space."""
+        lines = [w for w in words if not w.isspace()]
+        rest = [w for w in words if w.isspace()]
+        self.update(zip(rest, self.library(rest)))
+        parts = [lines[at : at + TOGETHER] for at in range(0, len(lines), TOGETHER)]
+        line = np.frombuffer(self.library(["\n"])[0], "<u4")
+        for part, e in zip(parts, self.own.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.r_[np.flatnonzero(ids == line[0]), len(ids)].tolist()
+            if len(line) > 1 or len(ends) != len(part):
+                self.update(zip(part, self.library(part)))
+                continue
+            data = ids.tobytes()
+            self.update(zip(part, [data[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], ends)]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = list(map(self.words, texts))
         new = set().union(*(w for w in split if w is not None)).difference(self.keys())
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = set().union(*(w for w in split if w is not None))
-        asked = list(new)
-        self.update(zip(asked, self.library(asked)))
+        self.learn(list(new))
         whole = iter(self.library([t for t, w in zip(texts, split) if w is None]))
         out = [next(whole) if w is None else b"".join(map(self.__getitem__, w)) for w in split]
         # one text of each call, whichever, is held whole against the library, so that another version can't go unnoticed

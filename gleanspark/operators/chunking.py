@@ -66,14 +66,14 @@ def protected(text: str, start: int, end: int) -> list[tuple[int, int]]:
         at += len(line) + 1
     out, i = [], 0
     while i < len(lines):
-        bare = lines[i][2].lstrip(" \t")
+        bare = lines[i][2].lstrip(SPACES)
         if bare[:3] in ("```", "~~~"):
             close = next((j for j in range(i + 1, len(lines)) if _closes(lines[j][2], bare[0])), len(lines) - 1)
             out.append((lines[i][0], lines[close][1]))
             i = close + 1
         elif bare.startswith("|"):
             j = i
-            while j < len(lines) and lines[j][2].lstrip(" \t").startswith("|"):
+            while j < len(lines) and lines[j][2].lstrip(SPACES).startswith("|"):
                 j += 1
             if j - i >= 3:
                 out.append((lines[i][0], lines[j - 1][1]))
@@ -84,7 +84,7 @@ def protected(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 def _closes(line: str, mark: str) -> bool:
-    bare = line.strip(" \t\r")
+    bare = line.strip(SPACES)
     return len(bare) >= 3 and not bare.strip(mark)
 
 

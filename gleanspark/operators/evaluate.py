@@ -167,3 +167,36 @@ def shared_tokens(queries: DataFrame, expects: DataFrame, chunks: DataFrame) ->
     near = first.join(c, (F.col("e.source") == F.col("_source")) & overlaps(F.col("e.start_offset"), F.col("e.end_offset"), F.col("_a"), F.col("_b")))
     own = queries.select("query_id", F.col("tokens").alias("_own"))
     return near.join(own, "query_id").groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_intersect("_own", "tokens"))))).alias("shared"))
+
+
+def expanded(fused: DataFrame, chunks: DataFrame, expects: DataFrame, queries: DataFrame, n: int = 1) -> DataFrame:
+    """(query_id, recall) of fused results together with up to ``n`` chunks before and after each, each chunk once."""
+    place = chunks.select("document_id", "ordinal", "source", "start_offset", "end_offset", "chunk_id")
+    w = W.partitionBy("document_id").orderBy("ordinal", "chunk_id")
+    placed = place.withColumn("place", F.row_number().over(w))
+    hit = fused.select("query_id", "rank", "document_id", "ordinal").join(placed.select("document_id", "ordinal", "place"), ["document_id", "ordinal"])
+    near = hit.select("query_id", "rank", "document_id", F.explode(F.sequence(F.col("place") - n, F.col("place") + n)).alias("place"))
+    once = near.groupBy("query_id", "document_id", "place").agg(F.min("rank").alias("rank")).join(placed, ["document_id", "place"])
+    results = once.select(F.lit("expanded").alias("channel"), "query_id", "rank", "source", "start_offset", "end_offset")
+    # merged hits span more than the chunk that names them
+    own = fused.select(F.lit("expanded").alias("channel"), "query_id", "rank", "source", "start_offset", "end_offset")
+    return scores(results.unionByName(own), expects, queries).select("query_id", "recall")
+
+
+#: What a gate holds, by channel and metric.
+GATED = (("fused", "recall"), ("fused", "ndcg"), ("fused", "mrr"), ("lexical", "recall"), ("vector", "recall"))
+
+
+def overall(table: DataFrame) -> DataFrame:
+    """(metric, value) of the means over all queries, from ``metrics``: what a gate is built of."""
+    rows = [F.max(F.when(F.col("group").isNull() & (F.col("channel") == c), F.col(m))).alias(f"{c}_{m}") for c, m in GATED]
+    wide = table.agg(*rows)
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(f"{c}_{m}").alias("metric"), F.col(f"{c}_{m}").alias("value")) for c, m in GATED))).alias("x")).select("x.*").where("value is not null")
+
+
+def stamped(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``files`` (source, path, sha256, chunks_at_default, content) with hashes and numbers of chunks as they are, and ``changed``."""
+    actual = chunks.groupBy("source").agg(F.count(F.lit(1)).cast("int").alias("actual"))
+    joined = files.join(actual, "source", "left").withColumn("actual", F.coalesce("actual", F.lit(0))).withColumn("hash", fingerprint(F.col("content")))
+    changed = ~(F.lower("sha256").eqNullSafe(F.col("hash")) & F.col("chunks_at_default").eqNullSafe(F.col("actual")))
+    return joined.select("source", "path", F.when(changed, F.col("hash")).otherwise(F.col("sha256")).alias("sha256"), F.col("actual").alias("chunks_at_default"), "content", changed.alias("changed"))

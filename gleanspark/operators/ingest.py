@@ -8,6 +8,7 @@ from gleanspark.functions.text import blank, index_text
 from gleanspark.operators.chunking import ChunkOptions, chunk_documents
 from gleanspark.operators.embed import Embedder
 from gleanspark.operators.numbering import numbered
+from gleanspark.sources.staging import staged
 
 INLINE = "inline"
 
@@ -95,15 +96,29 @@ def index_stats(chunks: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def ingest(docs: DataFrame, embedder: Embedder | None = None, options: ChunkOptions = ChunkOptions(), above: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Sound documents (title, source, content, import_seq), deduplicated, with ids, and their chunks with vectors.
+#: Bits of a chunk's id that its place in the document takes.
+ORDINAL_BITS = 24
+
+
+def chunk_id(document_id: Column, ordinal: Column) -> Column:
+    """A number for each place of each document: unique for up to 2**ORDINAL_BITS chunks of each of 2**39 documents."""
+    return F.shiftleft(document_id.cast("bigint"), ORDINAL_BITS).bitwiseOR(ordinal.cast("bigint"))
+
+
+def ingest(docs: DataFrame, options: ChunkOptions = ChunkOptions(), above: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sound documents (title, source, content, import_seq), deduplicated, with ids; their chunks; and those without a chunk.
 
     New rows are computed before anything is replaced, so a document that can't be cut never costs the old one.
+    Documents and chunks come from one written table and so agree on their ids.
     """
     sound = document_problems(docs).where("problem is null").drop("problem")
-    kept = with_ids(latest(sound), above)
-    chunks = with_source(chunk_documents(kept, options), kept)
-    kept = kept.join(chunks.select(F.col("document_id").alias("id")).distinct(), "id", "left_semi")
-    if embedder is not None:
-        chunks = embedder.embed(chunks.withColumn("_text", index_text(F.col("heading"), F.col("content"))), "_text").drop("_text")
-    return kept, chunks.withColumn("chunk_id", F.xxhash64("document_id", "ordinal"))
+    kept = staged(with_ids(latest(sound), above), "imported")
+    chunks = with_source(chunk_documents(kept, options), kept).withColumn("chunk_id", chunk_id(F.col("document_id"), F.col("ordinal")))
+    chunks = staged(chunks, "chunks")
+    cut = chunks.select(F.col("document_id").alias("id")).distinct()
+    return kept.join(cut, "id", "left_semi"), chunks, kept.join(cut, "id", "left_anti")
+
+
+def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:
+    """``chunks`` with ``embedding``, that of the heading and the text."""
+    return embedder.embed(chunks.withColumn("_text", index_text(F.col("heading"), F.col("content"))), "_text").drop("_text")

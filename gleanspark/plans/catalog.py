@@ -216,9 +216,27 @@ def self_recall_overlap(spark, sf_dir):
     return vector.overlap(vector.search(idx, q, 5), vector.search(idx, q, 10))
 
 
-@query()
+def sql_fnv(x: str) -> str:
+    octets = f"list_transform(range(0, octet_length(encode({x}))), lambda i: ('0x' || substring(hex(encode({x})), 2 * i + 1, 2))::BIGINT)"
+    return f"list_reduce(list_prepend(2166136261::BIGINT, {octets}), lambda h, o: (xor(h, o) * 16777619) % 4294967296)"
+
+
+def sql_buckets(name: str, texts: str, key: str = "key", dim: int = 1024) -> str:
+    """CTEs for the hash vectors' components (key, bucket, n, weight) of ``texts`` (key, text)."""
+    return f"""
+    {name}_t AS (SELECT {key}, unnest(CASE WHEN len(t) = 0 THEN [NULL] ELSE t END) AS token FROM (SELECT {key}, {sql_tokens("text")} AS t FROM ({texts}))),
+    {name}_f AS (SELECT {key}, token, count(*) AS f FROM {name}_t GROUP BY ALL), {name}_v AS (SELECT token, {sql_fnv("token")} % {dim} AS bucket FROM (SELECT DISTINCT token FROM {name}_f WHERE token IS NOT NULL)),
+    {name}_n AS (SELECT {key}, coalesce(bucket, 0)::INT AS bucket, sum(f)::BIGINT AS n FROM {name}_f LEFT JOIN {name}_v USING (token) GROUP BY ALL),
+    {name} AS (SELECT {key}, bucket, n, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS weight FROM {name}_n)"""
+
+
+_TEXTED = f"SELECT doc_id AS key, text FROM documents WHERE length(translate(coalesce(text, ''), {X.literal(T.SPACES)}, '')) > 0"
+
+
+@query(f"WITH {sql_buckets('b', _TEXTED)} SELECT key, bucket, n, round(weight, 6) AS weight FROM b")
 def hash_embed_buckets(spark, sf_dir):
-    return rounded(embed.HashEmbedder().buckets(documents(spark, sf_dir), "key"), "weight")
+    docs = documents(spark, sf_dir)
+    return rounded(embed.HashEmbedder().buckets(docs.where(~T.blank(F.col("text"))), "key"), "weight")
 
 
 @query("SELECT key, CAST(h AS BIGINT) AS hash FROM (VALUES ('hello', 1335831723), ('检索', 4287181985), ('', 2166136261)) AS v(key, h)")
@@ -280,16 +298,19 @@ def matched_by(spark, sf_dir):
     return fusion.fuse(*channels(spark, sf_dir)).select("query_id", "key", "matched_by", (F.col("matched_by") == "lexical+vector").alias("by_both"))
 
 
-@query()
+@query(f"""WITH {sql_index()}, {sql_search('lx', _ASKED, 10)}, {sql_buckets('b', _TEXTED, 'key', 256)}, {sql_buckets('q', 'SELECT item_id AS query_id, text FROM benchmark', 'query_id', 256)},
+    vx_s AS (SELECT query_id, key, sum(b.weight * q.weight) AS score FROM b JOIN q USING (bucket) GROUP BY ALL), vx AS (SELECT query_id, key, score, {sql_rank()} AS rank FROM vx_s QUALIFY rank <= 10),
+    both_ AS (SELECT query_id, key, lx.score AS ls, vx.score AS vs, lx.rank AS lr, vx.rank AS vr, coalesce(1.0::DOUBLE / (60 + lx.rank), 0) + coalesce(1.0::DOUBLE / (60 + vx.rank), 0) AS score FROM lx FULL JOIN vx USING (query_id, key)),
+    fused AS (SELECT *, {sql_rank()} AS rank FROM both_ QUALIFY rank <= 10)
+    SELECT query_id, key, rank, round(score, 6) AS score, round(coalesce(ls, 0), 6) AS lexical_score, round(coalesce(vs, 0), 6) AS vector_score, coalesce(lr, 0) AS lexical_rank, coalesce(vr, 0) AS vector_rank FROM fused""")
 def hybrid_search(spark, sf_dir):
-    """Words and hash vectors over whole documents, all benchmark texts as queries."""
+    """Words and hash vectors over whole documents, all benchmark texts as queries. Hash vectors are sparse: the cosine is a join on buckets."""
     e = embed.HashEmbedder(256)
     docs = documents(spark, sf_dir)
-    texts = docs.where(~T.blank(F.col("text")))
-    idx = vector.index(e.embed(texts).select("key", F.col("embedding").alias("vector")), e.dim)
-    q = asked(spark, sf_dir)
-    near = vector.search(idx, e.embed(q, "query").select("query_id", F.col("embedding").alias("vector")), 10)
-    return rounded(fusion.fuse(lexical.search(lexical.index(docs), q, 10), near, 10), "score", "lexical_score", "vector_score")
+    texts, q = docs.where(~T.blank(F.col("text"))), asked(spark, sf_dir)
+    near = vector.search_sparse(e.buckets(texts, "key"), e.buckets(q, "query_id", "query"), texts, 10)
+    fused = fusion.fuse(lexical.search(lexical.index(docs), q, 10), near, 10)
+    return rounded(fused.drop("matched_by"), "score", "lexical_score", "vector_score")
 
 
 @query(f"WITH {sql_index()}, {sql_search('hits', _ASKED, 10)} SELECT query_id, key, rank, round(1.0::DOUBLE / (60 + rank), 6) AS score, rank AS lexical_rank, 0 AS vector_rank FROM hits")

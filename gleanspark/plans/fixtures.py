@@ -36,7 +36,7 @@ class Inline:
 
 
 TEXTS = Inline("id bigint, text string", (
-    (1, "使用 pgvector 做向量检索"), (2, "数据库"), (3, "库"), (4, "Go1.26"), (5, "ＡＢＣ１２３"), (6, "中文　english"), (7, "abc中文"), (8, "すし"), (9, "数据，库"),
+    (1, "把 parquet 写成分区表"), (2, "天气预报"), (3, "雨"), (4, "v2.75 rc"), (5, "ＸＹＺ４５６"), (6, "春天　weather"), (7, "km公里"), (8, "さくら"), (9, "风，雨雪"),
     (10, ""), (11, "  ?! "), (12, "Ｓｐａｒｋ４．１ と カタカナ、ひらがな"), (13, "it's a_b-c"), (14, "ΑΒΓ Straße ÉTÉ"), (15, None),
 ))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleanspark.functions.text import title_of
 
@@ -24,7 +24,7 @@ def inline(spark: SparkSession, texts: list[dict]) -> DataFrame:
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Documents from text and Markdown files below ``path``; another extension is an error, the source is the path, the title the name."""
-    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source"))
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("content"), file_path().alias("source"))
     name = F.regexp_extract("source", r"([^/]*)$", 1)
     extension = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
     sound = F.when(extension.isin(*EXTENSIONS), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(F.raise_error(F.concat(F.lit("can't import "), name)).cast("string"))
@@ -32,17 +32,23 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return df.select(sound.alias("title"), "source", "content", F.lit(None).cast("map<string,string>").alias("metadata"), order)
 
 
+def file_path() -> Column:
+    """The path of the file that a row was read from, as it is named there: Spark gives its URI, in which some characters are escaped."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 class JsonError(ValueError):
     pass
 
 
 def strict_json(text: str, fields: dict) -> dict:
     """One JSON object with no other fields than ``fields`` (nested: a dict, or a list of one dict); errors name the line."""
+    start = len(text) - len(text.lstrip())
     try:
-        value, end = json.JSONDecoder().raw_decode(text.lstrip())
+        value, end = json.JSONDecoder().raw_decode(text, start)
     except json.JSONDecodeError as e:
         raise JsonError(f"line {e.lineno}: {e.msg}") from None
-    if text.lstrip()[end:].strip():
+    if text[end:].strip():
         raise JsonError("more than one document")
     _no_others(value, fields, "")
     return value
@@ -82,5 +88,11 @@ def corpus(spark: SparkSession, manifest: str, root: str | None = None) -> DataF
     base = root or manifest.rsplit("/", 1)[0]
     rows = [(f["source"], f"{base}/{f['path']}", f["sha256"], int(f.get("chunks_at_default") or 0)) for f in value["files"]]
     listed = spark.createDataFrame(rows, "source string, path string, sha256 string, chunks_at_default int")
-    texts = spark.read.text([r[1] for r in rows], wholetext=True).select(F.col("value").alias("content"), F.regexp_extract("_metadata.file_path", r"([^/]*)$", 1).alias("_name"))
-    return listed.withColumn("_name", F.regexp_extract("path", r"([^/]*)$", 1)).join(texts, "_name", "left").drop("_name")
+    texts = spark.read.text([r[1] for r in rows], wholetext=True).select(F.col("value").alias("content"), _bare(file_path()).alias("_path"))
+    return listed.withColumn("_path", _bare(F.col("path"))).join(texts.dropDuplicates(["_path"]), "_path", "left").drop("_path")
+
+
+def _bare(path: Column) -> Column:
+    """A path without its scheme, repeated slashes and steps that stay or go back."""
+    bare = F.regexp_replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), r"/(\./)+|/{2,}", "/")
+    return F.regexp_replace(bare, r"/[^/]+/\.\.(?=/)", "")

@@ -1,12 +1,13 @@
 """Cases of single operators and of the engine as a whole."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from gleanspark.functions import text as T
 from gleanspark.operators import chunking, embed, evaluate, fusion, ingest, lexical, vector
-from gleanspark.plans.engine import Engine, Options
-from gleanspark.sources import documents
+from gleanspark.plans import evaluation, report
+from gleanspark.plans.engine import Engine, Options, SearchError
+from gleanspark.sources import documents, env
 from gleanspark.sources.snapshots import NotFound, SnapshotStore
 
 
@@ -17,8 +18,8 @@ def values(df, *columns):
 @pytest.mark.parametrize(
     ("text", "scheme", "expected"),
     [
-        ("使用 pgvector 做向量检索", "bigram", "使用 pgvector 做向 向量 量检 检索"), ("库", "both", "库"), ("数据库", "both", "数 据 库 数据 据库"), ("数据库", "unigram", "数 据 库"),
-        ("Go1.26", "bigram", "go1 26"), ("ＡＢＣ", "odd", "abc"), ("", "bigram", ""), (None, "bigram", ""), ("abc中文", "bigram", "abc 中文"),
+        ("把 parquet 写成表", "bigram", "把 parquet 写成 成表"), ("雨", "both", "雨"), ("雨夹雪", "both", "雨 夹 雪 雨夹 夹雪"), ("雨夹雪", "unigram", "雨 夹 雪"),
+        ("V2.75", "bigram", "v2 75"), ("ＸＹ", "odd", "xy"), ("", "bigram", ""), (None, "bigram", ""), ("km公里", "bigram", "km 公里"),
     ],
 )
 def test_tokens(spark, text, scheme, expected):
@@ -40,7 +41,8 @@ def test_search_paths_have_no_python(spark):
     q = spark.createDataFrame([(1, "b")], "query_id bigint, query string")
     e = embed.HashEmbedder(8)
     vectors = vector.index(e.embed(chunks).select("key", F.col("embedding").alias("vector")), 8)
-    near = vector.search(vectors, e.embed(q, "query").select("query_id", F.col("embedding").alias("vector")), 1)
+    near = vector.search_sparse(e.buckets(chunks, "key"), e.buckets(q, "query_id", "query"), chunks, 1)
+    assert values(near, "key", "rank") == values(vector.search(vectors, e.embed(q, "query").select("query_id", F.col("embedding").alias("vector")), 1), "key", "rank")
     plan = fusion.fuse(lexical.search(lexical.index(chunks), q, 1), near, 1)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert "WindowGroupLimit" in plan
@@ -51,8 +53,10 @@ def test_vectors(spark):
     idx = vector.index(spark.createDataFrame(rows, "key bigint, vector array<float>"), 2)
     q = spark.createDataFrame([(9, [2.0, 0.0])], "query_id bigint, vector array<float>")
     assert values(vector.search(idx, q).orderBy("rank"), "key", "score") == [(1, 1.0), (2, 0.0), (3, -1.0)]
-    with pytest.raises(Exception, match="direction"):
-        vector.search(idx, spark.createDataFrame([(9, [0.0, 0.0])], q.schema)).collect()
+    assert values(vector.search(idx, spark.createDataFrame([(9, [0.0, 0.0])], q.schema), 2).orderBy("rank"), "key", "score") == [(1, 0.0), (2, 0.0)]
+    assert vector.search(idx, q.limit(0)).count() == 0 and vector.search(idx.limit(0), q).count() == 0
+    with pytest.raises(Exception, match="dimension"):
+        vector.search(idx, spark.createDataFrame([(9, [1.0])], q.schema)).collect()
     with pytest.raises(Exception, match="components"):
         vector.index(spark.createDataFrame([(1, [1.0])], "key bigint, vector array<float>"), 2).collect()
 
@@ -148,6 +152,140 @@ def test_import_search_replace_delete(spark, tmp_path):
     with pytest.raises(ValueError):
         engine.search(spark.createDataFrame([("1", "  ")], queries.schema))
     assert engine.stats().first().chunks > 0
+    assert store.versions() == [1, 2, 3] and store.expire(1) == [1, 2] and store.versions() == [3]
+    with pytest.raises(ValueError):
+        store.save(store.documents(), store.chunks(), store.vectors())
+    for blank in ("\t", "\u3000", None):
+        with pytest.raises(ValueError):
+            engine.search(spark.createDataFrame([("1", blank)], queries.schema))
+
+
+def test_numbers_of_many_rows(spark):
+    from gleanspark.operators.numbering import numbered
+
+    rows = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003).alias("place"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    out = numbered(rows.repartition(7), ["place"], "n")
+    count, low, high, n = out.agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.count_distinct("n")).first()
+    assert (count, low, high, n) == (1_000_000, 0, 999_999, 1_000_000)
+    w = W.partitionBy(F.floor(F.col("n") / 50_000)).orderBy("n")
+    assert out.withColumn("before", F.lag("place").over(w)).where("place <= before").count() == 0
+
+
+def test_indexes_are_written_once_and_read(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    Engine(store).import_documents(documents.inline(spark, [{"content": "some words"}, {"content": "# only a heading", "title": "empty"}]))
+    engine = Engine(store)
+    read = engine._words(spark.createDataFrame([("1", "words")], "query_id string, query string"), 5).inputFiles()
+    assert read and all("/derived/postings-" in f for f in read)
+    assert sorted(p.name for p in (tmp_path / "store").glob("data-1-*/derived/*")) == ["lengths-bigram-1.2-0.75", "postings-bigram-1.2-0.75", "vectors-0", "vocabulary-bigram-1.2-0.75"]
+    assert store.documents().count() == 1
+
+
+class Broken:
+    model, dim = "broken", 4
+
+    def __init__(self, ready=False, wait=0.0):
+        self.ready, self.wait = ready, wait
+
+    def embed(self, texts, text="text"):
+        if self.ready:
+            return embed.HashEmbedder(4).embed(texts, text)
+        if self.wait:
+            import time
+
+            time.sleep(self.wait)
+        raise OSError("no embedder")
+
+
+def test_failures_leave_what_works(spark, tmp_path):
+    q = spark.createDataFrame([("1", "words")], "query_id string, query string")
+    broken = Broken()
+    engine = Engine(SnapshotStore(spark, str(tmp_path / "a")), broken)
+    summary = engine.import_documents(documents.inline(spark, [{"content": "some words"}, {"content": "## heading alone", "title": "t"}])).collect()
+    assert {(r.chunk_count, r.embedded_count, r.warning) for r in summary} == {(1, 0, "embedding failed: OSError"), (0, 0, "there is no text to cut")}
+    assert engine.search(q).degraded == "there are no vectors"
+    broken.ready = True
+    engine.import_documents(documents.inline(spark, [{"content": "other words"}]))
+    assert engine.search(q).degraded is None
+    broken.ready = False
+    found = engine.search(q)
+    assert found.degraded == "the vector channel failed: OSError" and found.results.count() == 2
+    good, engine.lexical = engine.lexical, None
+    broken.ready = True
+    found = engine.search(q)
+    assert found.degraded.startswith("the lexical channel failed") and found.results.where("vector_rank > 0").count() == 1
+    broken.ready = False
+    with pytest.raises(SearchError):
+        engine.search(q)
+    engine.lexical = good
+    broken.wait = 60
+    slow = Engine(engine.store, broken, Options(timeout=15))
+    assert "not ready" in slow.search(q).degraded
+
+
+def test_channels_can_merge_before_the_cut(spark, tmp_path):
+    e = embed.HashEmbedder(16)
+    engine = Engine(SnapshotStore(spark, str(tmp_path / "s")), e, Options(top_k=2, multiplier=3, merge=True, chunks=chunking.ChunkOptions(20, 0)))
+    engine.import_documents(documents.inline(spark, [{"content": "alpha beta gamma one. alpha beta gamma two. alpha beta gamma three.", "source": "a"}, {"content": "alpha delta", "source": "b"}]))
+    found = engine.channels(spark.createDataFrame([("1", "alpha")], "query_id string, query string"))
+    assert found["fused"].where("merged > 1").count() == 1 and found["fused"].count() == 2 and found["lexical"].count() == 2
+
+
+def test_evaluation_run(spark, tmp_path):
+    files = spark.createDataFrame([("a.md", "a.md", "# One\nThe first passage is about birds.\n# Two\nThe second one is about stones."), ("b.md", "b.md", "Rivers run to the sea.")], "source string, path string, content string")
+    files = files.withColumn("sha256", evaluate.fingerprint(F.col("content"))).withColumn("chunks_at_default", F.when(F.col("source") == "a.md", 2).otherwise(1))
+    assert evaluation.check_corpus(files).count() == 0
+    assert values(evaluation.check_corpus(files.withColumn("chunks_at_default", F.lit(7))).orderBy("source"), "problem") == [("chunks: 7 recorded, 2",), ("chunks: 7 recorded, 1",)]
+    queries = spark.createDataFrame([("q1", "birds", "en", True), ("q2", "sea rivers", "en", False), ("q3", "volcano", "norel", False)], "query_id string, query string, group string, require_lexical boolean")
+    expects = spark.createDataFrame([("q1", 0, "a.md", "about birds", None, 2), ("q2", 0, "b.md", "Rivers", None, 2)], "query_id string, expect_id int, source string, quote string, occurrence int, grade int")
+    for merge in (False, True):
+        got = evaluation.evaluation(str(tmp_path / f"s{merge}"), files, queries, expects, embed.HashEmbedder(64), evaluation.EvalOptions(merge=merge))
+        means = dict(values(got.overall(), "metric", "value"))
+        assert means["lexical_recall"] == means["fused_recall"] == pytest.approx(2 / 3) and set(means) == {f"{c}_{m}" for c, m in evaluate.GATED}
+        assert got.missed.count() == 0 and got.required.first().lexical_found == 1
+        assert {r.query_id: r.recall for r in got.expanded.collect()} == {"q1": 1.0, "q2": 1.0, "q3": 0.0}
+        assert "fused" in got.text() and '"metrics"' in got.json()
+        assert evaluate.gate(got.overall(), got.overall()).where("status = 'fail'").count() == 0
+    with pytest.raises(evaluation.Degraded):
+        evaluation.evaluation(str(tmp_path / "broken"), files, queries, expects, Broken())
+    with pytest.raises(ValueError, match="placed"):
+        evaluation.evaluation(str(tmp_path / "lost"), files, queries, expects.withColumn("quote", F.lit("absent")), embed.HashEmbedder(64))
+    stamped = evaluate.stamped(files.withColumn("sha256", F.when(F.col("source") == "a.md", "old").otherwise(F.col("sha256"))), spark.createDataFrame([("a.md",), ("a.md",), ("b.md",)], "source string"))
+    assert values(stamped.orderBy("source"), "source", "changed", "chunks_at_default") == [("a.md", True, 2), ("b.md", False, 1)]
+    assert evaluation.candidates(100, 10) == 100 and evaluation.candidates(5, 10) == 10
+
+
+def test_reports_and_settings(tmp_path):
+    assert report.display_width("表a") == 3 and report.display_width("e\u0301") == 1
+    assert report.table([{"name": "表", "n": 1.5}, {"name": "abc", "n": 2.0}]) == "name      n\n----  -----\n表    1.500\nabc   2.000"
+    assert report.as_json({"a": "表<"}) == '{\n  "a": "表<"\n}'
+    assert env.parse_env("# no\nexport A=1\nB = 'x y'\n\nC=\"q\"\nD=a=b # c") == {"A": "1", "B": "x y", "C": "q", "D": "a=b # c"}
+    with pytest.raises(ValueError, match="line 2"):
+        env.parse_env("A=1\nnonsense")
+    (tmp_path / ".env").write_text("A=1\nB=2")
+    own = {"A": "0"}
+    assert env.load_env(str(tmp_path / ".env"), own) == {"B": "2"} and own == {"A": "0", "B": "2"} and env.load_env(str(tmp_path / "none"), own) == {}
+
+
+def test_regions_behind_wide_spaces():
+    fence = "\u3000```\nsome code. more code. even more code.\n\u3000```"
+    assert chunking.protected(fence, 0, len(fence)) == [(0, len(fence))]
+    rows = "\u3000| a |\n\u2003| b |\n\xa0| c |"
+    assert chunking.protected(rows, 0, len(rows)) == [(0, len(rows))]
+
+
+def test_corpus_by_whole_paths(spark, tmp_path):
+    import json
+
+    for folder, text in (("a", "first"), ("b", "second")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "文档 r+1%.md").write_text(text)
+    found = documents.files(spark, str(tmp_path / "a")).first()
+    assert found.title == "文档 r+1%" and found.source.endswith("/a/文档 r+1%.md")
+    entries = [{"source": f, "path": f"{f}/文档 r+1%.md", "sha256": "0" * 64} for f in ("a", "b")]
+    (tmp_path / "manifest.json").write_text(json.dumps({"files": entries}))
+    got = documents.corpus(spark, str(tmp_path / "manifest.json"))
+    assert values(got.orderBy("source"), "source", "content") == [("a", "first"), ("b", "second")]
 
 
 def test_lexical_only_without_embedder(spark, tmp_path):

@@ -17,7 +17,7 @@ from gleanspark.llm.store import KEY, held, plain, ranked, row_key, written
 #: The token after each document.
 END = 1
 #: Words whose ids a worker remembers, and characters of a text that is held whole against the library.
-REMEMBERED, CHECKED = 800_000, 20_000
+REMEMBERED, CHECKED = 400_000, 20_000
 #: Words that the library encodes at once, each on a line of its own.
 TOGETHER = 1000
 #: How near to the least number of padded tokens a plan must be proven to be.

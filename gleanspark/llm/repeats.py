@@ -462,27 +462,29 @@ def byte_spans(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, in
     return [tuple(x) for x in out]
 
 
-def _kept(lengths: tuple[int, ...]):
+def _kept(lengths: tuple[int, ...], text: bool = False):
+    """What is left of each text, as bytes or, without characters that a cut splits, as ``text``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             rows = []
-            for text, *marks in zip(*(batch.column(c) for c in ("text", "marks", "longer")[: 1 + len(lengths)])):
-                b, found = _bytes(text.as_py()), [byte_spans(_pairs(m), length) for m, length in zip(marks, lengths)]
+            for whole, *marks in zip(*(batch.column(c) for c in ("text", "marks", "longer")[: 1 + len(lengths)])):
+                b, found = _bytes(whole.as_py()), [byte_spans(_pairs(m), length) for m, length in zip(marks, lengths)]
                 spans = found[-1]
                 kept = b"".join(b[x:y] for x, y in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(b)]))
-                rows.append((len(b) - len(kept), len(spans), sum(y - x for x, y in found[0]), kept))
+                rows.append((len(b) - len(kept), len(spans), sum(y - x for x, y in found[0]), kept.decode("utf-8", "ignore") if text else kept))
             columns = zip(*rows) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["key", "n_removed", "n_spans", "n_passage_bytes", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string() if text else pa.binary())))], ["key", "n_removed", "n_spans", "n_passage_bytes", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None, index_bytes: int = INDEX_BYTES) -> tuple[DataFrame, DataFrame]:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None, index_bytes: int = INDEX_BYTES, as_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """Bytes of texts under a ``length``-byte string that also starts anywhere else, and what is left without them.
 
     Returns two tables: one row per row of ``docs`` (id, key, n_bytes, digest: SHA-256 of the whole text), and one
     for some of the distinct (id, text), among them all from which bytes go (key, n_removed, n_spans,
-    n_passage_bytes, kept: the remaining bytes). n_passage_bytes counts the bytes under ``passage``-byte strings that
+    n_passage_bytes, kept: the remaining bytes, or ``as_text``). n_passage_bytes counts the bytes under ``passage``-byte strings that
     repeat, which only are counted and don't go; ``passage`` is ``length`` unless it is given, and shorter.
     Texts are UTF-8, matches never cross texts, overlaps count, and all strings are judged on the input.
 
@@ -501,19 +503,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     lengths = tuple(sorted({passage or length, length}))
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     every, marked = _marked(source, lengths, index_bytes)
-    return every, marked.mapInArrow(_kept(lengths), f"key {KEY}, n_removed long, n_spans long, n_passage_bytes long, kept binary")
-
-
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([b.as_py().decode("utf-8", "ignore") for b in batch.column("kept")], pa.string())], ["key", "kept"])
+    return every, marked.mapInArrow(_kept(lengths, as_text), f"key {KEY}, n_removed long, n_spans long, n_passage_bytes long, kept {'string' if as_text else 'binary'}")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated bytes cut from the texts; all rows and other columns stay. Characters that a cut splits go."""
-    _, changed = remove_repeats(docs, length, id_col, text_col)
+    _, changed = remove_repeats(docs, length, id_col, text_col, as_text=True)
     key, kept = unused(docs, "_key", "_kept")
-    changed = changed.where("n_removed > 0").select("key", "kept").mapInArrow(_decoded, f"key {KEY}, kept string").toDF(key, kept)
+    changed = changed.where("n_removed > 0").select("key", "kept").toDF(key, kept)
     joined = docs.withColumn(key, row_key(id_col, text_col)).join(changed, key, "left")
     return joined.select(*(F.coalesce(F.col(kept), F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 

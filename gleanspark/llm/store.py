@@ -13,6 +13,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+
+def _frugal() -> None:
+    """Makes this process give freed memory back: workers outlive stages, and what one stage needed shouldn't stay taken in the next."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        # fixed values of the C library: trim, map and arena settings; blocks of a megabyte or more are mapped and unmapped
+        for setting, value in ((-1, 1 << 20), (-3, 1 << 20), (-8, 2)):
+            libc.mallopt(setting, value)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_frugal()
+
 #: Rows that a Python worker gets at once: whole texts, some of them long.
 ARROW_ROWS = 1000
 _held: dict = {}
@@ -23,7 +36,6 @@ def held(name: tuple, make):
     if name not in _held:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         _held[name] = make()

@@ -6,6 +6,7 @@ import itertools
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,6 @@ from gleanspark.llm.store import KEY, held, plain, ranked, row_key, written
 END = 1
 #: Words whose ids a worker remembers, and characters of a text that is held whole against the library.
 REMEMBERED, CHECKED = 400_000, 20_000
-#: Words that the library encodes at once, each on a line of its own.
-TOGETHER = 1000
 #: How near to the least number of padded tokens a plan must be proven to be.
 GAP = 0.002
 #: How often new patterns are priced before the solution is rounded.
@@ -27,7 +26,7 @@ TURNS = 30
 
 
 class Encoder(dict):
-    """Ids of texts by the ``tokenizers`` library, as little-endian bytes; remembers those of words, and asks once for each.
+    """Ids of texts by the ``tokenizers`` library, as little-endian bytes; remembers those of ``remembered`` words, and asks once for each.
 
     A byte-level vocabulary splits a text into words by one pattern and encodes each alone, so what the library says
     of words holds for texts. The pattern's classes of characters are taken from the library too: a text with a
@@ -35,19 +34,26 @@ class Encoder(dict):
     another kind.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import regex
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(path)
+        self.own, self.remembered = Tokenizer.from_file(path), remembered
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         split, added = model["pre_tokenizer"] or {}, model["added_tokens"]
         self.by_words = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not model["normalizer"] and not model["truncation"] and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
         self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
+        self.added = {t["content"] for t in added}
+        # fixed values: bytes that byte-level vocabularies spell as themselves; the others follow from 256 on, in order
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.visible = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}
         # fixed values: the splitting pattern of byte-level vocabularies; for ASCII alone it needs no Unicode classes
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+        # where no character but ASCII digits is a number, the classes of ``re`` will do, which are faster to match
+        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+        self.numbers: set[str] = set(map(chr, (0x1C, 0x1D, 0x1E, 0x1F)))
         self.classes = [(regex.compile(c), x) for c, x in ((r"\p{L}", "a"), (r"\p{N}", "1"), (r"[^\s\p{L}\p{N}]", "."))]
         self.sound: set[str] = set()
         self.odd: set[str] = set()
@@ -58,6 +64,8 @@ class Encoder(dict):
         for c in characters:
             theirs = [len(self.own.pre_tokenizer.pre_tokenize_str(x + c)) == 1 for _, x in self.classes]
             (self.sound if theirs == [bool(k.match(c)) for k, _ in self.classes] else self.odd).add(c)
+            if theirs != [c.isalpha(), "0" <= c <= "9", not c.isalnum() and not c.isspace()]:
+                self.numbers.add(c)
 
     def words(self, text: str) -> list[str] | None:
         """The words of a text, None if only the library can tell."""
@@ -72,7 +80,7 @@ class Encoder(dict):
             self.learn_classes(characters - self.sound - self.odd)
             if self.odd and not self.odd.isdisjoint(characters):
                 return None
-            pattern = self.pattern
+            pattern = self.plain if self.numbers.isdisjoint(characters) else self.pattern
         if self.special is None or not self.special.search(text):
             return pattern.findall(text)
         out, at = [], 0
@@ -84,29 +92,22 @@ class Encoder(dict):
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Asks the library for the ids of words: line by line, as a line's end is a word of its own before and after all that isn't white space."""
-        lines = [w for w in words if not w.isspace()]
-        rest = [w for w in words if w.isspace()]
-        self.update(zip(rest, self.library(rest)))
-        parts = [lines[at : at + TOGETHER] for at in range(0, len(lines), TOGETHER)]
-        line = np.frombuffer(self.library(["\n"])[0], "<u4")
-        for part, e in zip(parts, self.own.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.r_[np.flatnonzero(ids == line[0]), len(ids)].tolist()
-            if len(line) > 1 or len(ends) != len(part):
-                self.update(zip(part, self.library(part)))
-                continue
-            data = ids.tobytes()
-            self.update(zip(part, [data[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], ends)]))
+    def learn(self, words: set[str]) -> None:
+        """Asks the library's model for the ids of words, spelt as it spells bytes."""
+        tokenize = self.own.model.tokenize
+        for word in words:
+            self[word] = array("I", [t.id for t in tokenize(word.encode().decode("latin-1").translate(self.visible))]).tobytes()
+        for word in words & self.added:
+            self[word] = self.library([word])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = list(map(self.words, texts))
-        new = set().union(*(w for w in split if w is not None)).difference(self.keys())
-        if len(self) + len(new) > REMEMBERED:
+        words = [w for w in split if w is not None]
+        new = set(itertools.filterfalse(self.__contains__, itertools.chain.from_iterable(words)))
+        if len(self) + len(new) > self.remembered:
             self.clear()
-            new = set().union(*(w for w in split if w is not None))
-        self.learn(list(new))
+            new = set().union(*words)
+        self.learn(new)
         whole = iter(self.library([t for t, w in zip(texts, split) if w is None]))
         out = [next(whole) if w is None else b"".join(map(self.__getitem__, w)) for w in split]
         # one text of each call, whichever, is held whole against the library, so that another version can't go unnoticed
@@ -117,11 +118,11 @@ class Encoder(dict):
         return out
 
 
-def encoder(path: str) -> Encoder:
-    return held(("tokenizer", path), lambda: Encoder(path))
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    return held(("tokenizer", path, remembered), lambda: Encoder(path, remembered))
 
 
-def _pieces(path: str, size: int):
+def _pieces(path: str, size: int, remembered: int):
     half = size // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +130,12 @@ def _pieces(path: str, size: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows, values = [], []
-                for i, ids in enumerate(encoder(path).encode([t or "" for t in part.column("text").to_pylist()])):
+                for i, ids in enumerate(encoder(path, remembered).encode([t or "" for t in part.column("text").to_pylist()])):
                     ids += END.to_bytes(4, "little")
                     for start in range(0, len(ids), 4 * size):
                         piece = ids[start : start + 4 * size]
-                        crc = map(zlib.crc32, (piece, piece[: 4 * half], piece[4 * half :]))
+                        # only what is longer than half a sequence may be halved
+                        crc = zlib.crc32(piece), *(map(zlib.crc32, (piece[: 4 * half], piece[4 * half :])) if len(piece) > 4 * half else (0, 0))
                         rows.append(i)
                         values.append((start // 4, len(piece) // 4, *crc, len(ids) // 4))
                 columns = [pa.array(x, pa.int64()) for x in (zip(*values) if values else [[]] * 6)]
@@ -345,7 +347,7 @@ def plan_rows(counts: dict[int, int], halved: dict[int, int], plan: list[tuple[d
     return out, sequence
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each document is its ids and the end token, cut into pieces of ``size`` and one shorter. Full pieces are
@@ -353,14 +355,15 @@ def pack(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", t
     over the histogram of their lengths, which has at most ``size`` - 1 rows whatever the input. A pattern takes a
     range of the ranks among pieces of a length, so places follow by arithmetic. ``size`` is a power of two.
 
-    Null texts are empty: one piece, the end token alone. Repeated rows and null ids are documents like others; an
+    A worker remembers the ids of ``remembered`` words, of about 150 bytes each. Very long texts give as many pieces as
+    they need. Null texts are empty: one piece, the end token alone. Repeated rows and null ids are documents like others; an
     empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     keyed = source.select("id", row_key("id", "text").alias("key"), "text")
-    pieces = written(keyed.mapInArrow(_pieces(path, size), f"id {id_type}, key {KEY}, start long, length long, crc long, crc_first long, crc_rest long, doc_tokens long"), "pieces")
+    pieces = written(keyed.mapInArrow(_pieces(path, size, remembered), f"id {id_type}, key {KEY}, start long, length long, crc long, crc_first long, crc_rest long, doc_tokens long"), "pieces")
     short, full = pieces.where(F.col("length") < size), pieces.where(F.col("length") == size)
     counts = {r["length"]: r["count"] for r in short.groupBy("length").count().collect()}
     halved, plan = cutting_stock(counts, size) if counts else ({}, [])
@@ -393,4 +396,4 @@ def vocabulary() -> str:
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(plain(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), vocabulary())
+    return pack(plain(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), vocabulary(), remembered=1_200_000)

@@ -16,9 +16,8 @@ from gleanspark.llm.store import KEY, components, held, plain, remove, row_key,
 BLOCK = 256
 #: Members of small candidate clusters that share a task.
 BUNDLE = 1500
-#: Elements of a fragment of the global order whose partial overlaps are counted at once.
-COLUMNS = 4096
-
+#: Fragments that the global order of shingles is cut into, and elements of one whose overlaps are counted at once.
+FRAGMENTS, COLUMNS = 4, 4096
 
 #: Members of a bucket that are compared with each other by bitmaps.
 COMPARED = 4096
@@ -146,23 +145,26 @@ def _root(top: dict[int, int], x: int) -> int:
 
 
 def _tokens(k: int):
+    """Each set cut by the global order of shingles, that of their hashes, into FRAGMENTS pieces, empty ones too."""
+    cuts = (np.arange(1, FRAGMENTS) * (2.0**64 / FRAGMENTS)).astype(np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words, names = WordHashes(), ("cluster", "class", "copies")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                tokens = pa.array([shingle_set(t.as_py(), k, words).tobytes() for t in part.column("text")], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "class", "copies")), tokens], ["cluster", "class", "copies", "tokens"])
+                sets = [shingle_set(t.as_py(), k, words) for t in part.column("text")]
+                pieces = [x.tobytes() for s in sets for x in np.split(s, np.searchsorted(s, cuts))]
+                rows = pa.array(np.repeat(np.arange(len(sets)), FRAGMENTS))
+                size = pa.array(np.repeat(np.array(list(map(len, sets)), np.int64), FRAGMENTS))
+                fragment = pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(sets)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in names), size, fragment, pa.array(pieces, pa.binary())], [*names, "size", "fragment", "tokens"])
 
     return run
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of ``left`` with all of ``right``.
-
-    The elements found on both sides are put into one order and cut into fragments; the overlaps inside each
-    fragment are counted by one matrix product and summed per pair.
-    """
+    """Sizes of the intersections of all sets of ``left`` with all of ``right``: products of their incidence with what is on both sides."""
     out = np.zeros((len(left), len(right)), np.float32)
     a, b = np.concatenate(left), np.concatenate(right)
     rows_a, rows_b = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
@@ -177,20 +179,35 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             m[rows[hit], at[hit]] = 1
             sides.append(m)
         out += sides[0] @ sides[1].T
-    return out.astype(np.int64)
+    return out.astype(np.uint32)
+
+
+_SIDE = ("class", "size", "copies")
+_PARTIAL = {"task": pa.int64(), "cluster": pa.int64(), "first": pa.int32(), "second": pa.int32(), **{f"{c}_{x}": pa.binary() for x in "ab" for c in _SIDE}, "counts": pa.binary()}
+_PARTIAL_KINDS = "task long, cluster long, first int, second int, " + ", ".join(f"{c}_{x} binary" for x in "ab" for c in _SIDE) + ", counts binary"
+
+
+def _partial(table: pa.Table) -> pa.Table:
+    """Overlaps inside one fragment, of all pairs of two blocks of one cluster, or of many whole clusters: a matrix each."""
+    rows = table.drop_columns(["tokens"]).to_pandas().sort_values("class", kind="stable")
+    sets, out = table.column("tokens"), []
+    for (cluster, first, second), g in rows.groupby(["cluster", "first", "second"], sort=False):
+        sides = [g[g.block == n] for n in (first, second)]
+        if all(map(len, sides)):
+            counts = overlaps(*([np.frombuffer(sets[i].as_py(), np.uint64) for i in x.index] for x in sides))
+            out.append((int(g.task.iloc[0]), cluster, first, second, *(x[c].to_numpy(np.int64).tobytes() for x in sides for c in _SIDE), counts.tobytes()))
+    return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [()] * len(_PARTIAL), _PARTIAL.values())], list(_PARTIAL))
 
 
 def _linked(percent: int):
-    """For two blocks of one cluster, or many whole clusters: each set's links, and a spanning forest of them."""
+    """Sums the fragments' overlaps for each pair: each set's links, and a spanning forest of them."""
 
-    def pairs(left, right, same) -> Iterator[tuple[int, int, int]]:
-        (ids_a, copies_a, a), (ids_b, copies_b, b) = left, right
-        both = overlaps(a, b)
-        union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both
-        link = 100 * both >= percent * union
+    def pairs(a: list[np.ndarray], b: list[np.ndarray], both: np.ndarray, same: bool) -> Iterator[tuple[int, int, int]]:
+        (ids_a, sizes_a, copies_a), (ids_b, sizes_b, copies_b) = a, b
+        link = 100 * both >= percent * (sizes_a[:, None] + sizes_b[None, :] - both)
         if same:
             np.fill_diagonal(link, False)
-        top: dict[int, int] = {}
+        ids_a, ids_b, top = ids_a.tolist(), ids_b.tolist(), {}
         for i, j in zip(*np.nonzero(link)):
             p, q = _root(top, ids_a[i]), _root(top, ids_b[j])
             if p != q:
@@ -205,12 +222,12 @@ def _linked(percent: int):
                     yield ids_b[j], ids_b[j], int(n)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["cluster", "block", "class", "copies", "first", "second"]).to_pandas()
-        sets, out = table.column("tokens"), []
-        for _, g in rows.groupby(["cluster", "first", "second"], sort=False):
-            sides = [(h["class"].tolist(), h["copies"].to_numpy(), [np.frombuffer(sets[i].as_py(), np.uint64) for i in h.index]) for h in (g[g.block == n] for n in dict.fromkeys((g["first"].iloc[0], g["second"].iloc[0])))]
-            if all(s[0] for s in sides):
-                out += pairs(sides[0], sides[-1], len(sides) == 1)
+        keys, out = table.select(["cluster", "first", "second"]).to_pandas(), []
+        for (_, first, second), g in keys.groupby(["cluster", "first", "second"], sort=False):
+            value = lambda c, i=g.index[0]: np.frombuffer(table.column(c)[i].as_py(), np.int64)
+            a, b = ([value(f"{c}_{x}") for c in _SIDE] for x in "ab")
+            both = sum(np.frombuffer(table.column("counts")[i].as_py(), np.uint32).astype(np.int64) for i in g.index)
+            out += pairs(a, b, both.reshape(len(a[0]), len(b[0])), first == second)
         a, b, n = zip(*out) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(n, pa.int64())})
 
@@ -233,7 +250,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
     Equal sets are one class. A set is cut into enough fragments of the hash order that linked sets share a whole
     one; classes that share one, and whose bitmaps don't rule a link out, form candidate clusters. Only their sets
     are fetched. A cluster is compared in blocks of at most about BLOCK sets a side, so that no task holds more than
-    two; inside, overlaps are counted fragment by fragment and summed.
+    two; overlaps are counted for each fragment of the global order apart, as rows of their own, and summed for each pair.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     keyed = source.select("id", row_key("id", "text").alias("key"), "text")
@@ -264,15 +281,18 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
 
     wanted = clusters.select(F.col("root").alias("cluster"), F.col("node").alias("class")).join(classes.select("class", "copies", "key"), "class").select("cluster", "class", "copies", "key")
     fetched = keyed.select("key", "text").join(small(written(wanted, "wanted")), "key").select("cluster", "class", "copies", "text")
-    sets = written(fetched.mapInArrow(_tokens(k), "cluster long, class long, copies long, tokens binary").dropDuplicates(["class"]), "tokens")
+    sets = written(fetched.mapInArrow(_tokens(k), "cluster long, class long, copies long, size long, fragment int, tokens binary").dropDuplicates(["class", "fragment"]), "tokens")
 
-    sizes = sets.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    bundles = max(1, -(-sets.count() // BUNDLE))
+    whole = sets.where("fragment = 0")
+    sizes = whole.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    bundles = max(1, -(-whole.count() // BUNDLE))
     parts = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     parts = parts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     parts = parts.withColumn("first", F.least("block", "with")).withColumn("second", F.greatest("block", "with"))
     parts = parts.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bundles))).otherwise(F.xxhash64("cluster", "first", "second")))
-    found = written(parts.drop("blocks", "with").groupBy("task").applyInArrow(_linked(percent), "a long, b long, links long"), "links")
+    # overlaps are counted fragment by fragment, in tasks of their own, and then summed for each pair
+    partial = parts.drop("blocks", "with").groupBy("task", "fragment").applyInArrow(_partial, _PARTIAL_KINDS)
+    found = written(partial.groupBy("task").applyInArrow(_linked(percent), "a long, b long, links long"), "links")
 
     roots = components(found.where("a <> b"))
     links = found.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))

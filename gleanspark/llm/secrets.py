@@ -35,7 +35,8 @@ def _any(parts: list) -> object:
 
 
 def _of_strings(strings: set[str]) -> object:
-    return _any([_all([("tri", s[i : i + 3]) for i in range(len(s) - 2)]) for s in sorted(strings)])
+    """Postings are of three ASCII characters; what a string has besides is left to the pattern."""
+    return _any([_all([("tri", s[i : i + 3]) for i in range(len(s) - 2) if s[i : i + 3].isascii()]) for s in sorted(strings)])
 
 
 def _characters(items: list) -> set[str] | None:
@@ -235,23 +236,25 @@ def masked(text: str, spans: list[tuple[int, int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _mask(rules: tuple[Rule, ...]):
+def _mask(rules: tuple[Rule, ...], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TrigramIndex(rules)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                texts = part.column("text").to_pylist()
+                at_text = part.schema.names.index(text_col)
+                texts = part.column(at_text).to_pylist()
                 found = index.scan([t or "" for t in texts])
                 changed = pa.array([masked(t, s) if s else t for t, s in zip(texts, found)], pa.string())
-                yield pa.RecordBatch.from_arrays([changed if name == "text" else part.column(name) for name in part.schema.names], part.schema.names)
+                yield pa.RecordBatch.from_arrays([changed if i == at_text else c for i, c in enumerate(part.columns)], part.schema.names)
 
     return run
 
 
-def mask_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES) -> DataFrame:
-    """``docs`` with the secrets in its column text replaced by their kind; all rows and columns stay, null texts too."""
-    return docs.mapInArrow(_mask(BASE_RULES + more), docs.schema)
+def mask_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES, text_col: str = "text") -> DataFrame:
+    """``docs`` with the secrets in its texts replaced by their kind; all rows and columns stay, null texts too."""
+    own = next(c for c in docs.columns if c == text_col or c.lower() == text_col.lower())
+    return docs.mapInArrow(_mask(BASE_RULES + more, own), docs.schema)
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:

@@ -339,6 +339,14 @@ def test_masking(docs):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.where("text like '%hunter22%' or text like '%AKIA%'").count() == 0
     assert secrets.masked("a token=abcdefgh b", [(2, 0, 16, "assign")]) == "a <assign> b"
+    other = docs.withColumnRenamed("text", "Body")
+    assert secrets.mask_secrets(other, text_col="body").where("Body like '%hunter22%'").count() == 0
+
+
+def test_rules_beyond_ascii():
+    rule = secrets.Rule("word", "ключ=[a-z]{3}abc")
+    index = secrets.TrigramIndex((rule,))
+    assert [len(x) for x in index.scan(["ключ=xyzabc", "no abc", "ключ="])] == [1, 0, 0]
 
 
 # 6

@@ -46,9 +46,10 @@ def fnv1a32(text: Column) -> Column:
     """The 32-bit FNV-1a hash of the UTF-8 bytes, as a long."""
     digits = F.hex(text.cast("binary"))
     n = F.length(digits) / 2
-    octets = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(n.cast("int") - 1, F.lit(0))), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint"))
-    )
+    octets = F.transform(F.sequence(F.lit(0), F.greatest(n.cast("int") - 1, F.lit(0))), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint"))
+    # characters of ASCII are their bytes, which needs no digits
+    plain = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
+    octets = F.when(F.length(text) == 0, F.array().cast("array<bigint>")).when(F.length(text) == F.octet_length(text), plain).otherwise(octets)
     return F.aggregate(octets, F.lit(2166136261).cast("bigint"), lambda h, b: F.pmod(h.bitwiseXOR(b) * 16777619, F.lit(1 << 32)))
 
 

@@ -304,11 +304,11 @@ def matched_by(spark, sf_dir):
     fused AS (SELECT *, {sql_rank()} AS rank FROM both_ QUALIFY rank <= 10)
     SELECT query_id, key, rank, round(score, 6) AS score, round(coalesce(ls, 0), 6) AS lexical_score, round(coalesce(vs, 0), 6) AS vector_score, coalesce(lr, 0) AS lexical_rank, coalesce(vr, 0) AS vector_rank FROM fused""")
 def hybrid_search(spark, sf_dir):
-    """Words and hash vectors over whole documents, all benchmark texts as queries. Hash vectors are sparse: the cosine is a join on buckets."""
+    """Words and hash vectors over whole documents, all benchmark texts as queries."""
     e = embed.HashEmbedder(256)
     docs = documents(spark, sf_dir)
     texts, q = docs.where(~T.blank(F.col("text"))), asked(spark, sf_dir)
-    near = vector.search_sparse(e.buckets(texts, "key"), e.buckets(q, "query_id", "query"), texts, 10)
+    near = vector.search(vector.index(e.vectors(texts, "key"), e.dim), e.vectors(q, "query_id", "query"), 10)
     fused = fusion.fuse(lexical.search(lexical.index(docs), q, 10), near, 10)
     return rounded(fused.drop("matched_by"), "score", "lexical_score", "vector_score")
 

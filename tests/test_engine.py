@@ -65,6 +65,8 @@ def test_hash_embedder_and_remote_retries(spark):
     df = spark.createDataFrame([("b a b",), ("?!",)], "text string")
     got = [list(r.embedding) for r in embed.HashEmbedder(4).embed(df).collect()]
     assert got[1] == [1, 0, 0, 0] and abs(sum(x * x for x in got[0]) - 1) < 1e-6
+    named = spark.createDataFrame([(1, "b a b"), (2, "?!")], "key bigint, text string")
+    assert [pytest.approx(list(r.vector)) for r in embed.HashEmbedder(4).vectors(named, "key").orderBy("key").collect()] == got
     calls = []
 
     def flaky(texts):

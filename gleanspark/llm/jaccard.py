@@ -96,7 +96,7 @@ def _near(percent: int):
     """Edges that join the members of each bucket as far as their bitmaps allow a link.
 
     Each bit in which two bitmaps differ is an element in which the sets differ, so too many such bits rule a link
-    out, and nothing that is linked is ever told apart. Very large buckets are joined without a look.
+    out, and nothing that is linked is ever told apart.
     """
 
     def join(top: dict[int, int], a: int, b: int) -> bool:
@@ -107,9 +107,6 @@ def _near(percent: int):
 
     def edges(top: dict[int, int], ids: np.ndarray, sizes: np.ndarray, bits: list[bytes]) -> Iterator[tuple[int, int]]:
         ids = ids.tolist()
-        if len(ids) > COMPARED:
-            yield from ((ids[0], x) for x in ids[1:] if join(top, ids[0], x))
-            return
         width = min(map(len, bits))
         folded = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), 0) for b in bits])
         words, label = folded.view(np.uint64), np.arange(len(ids))
@@ -271,12 +268,16 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
     stars = written(stars.mapInArrow(_may(percent), "class long, lead long, may boolean"), "stars")
     # where a member can't be linked to its bucket's first, any two of the members may be
     apart = written(led.join(small(written(stars.where("not may").select("class", "lead"), "apart")), ["class", "lead"]).select("sig").distinct(), "buckets")
-    split = written(led.join(small(apart), "sig").select("sig", "class"), "split")
+    split = written(led.join(small(apart), "sig"), "split")
     remove(led)
+    # a bucket of very many is joined without a look, so that no task holds more than COMPARED of one
+    wide = written(split.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMPARED).select("sig"), "wide")
+    whole = split.join(small(wide), "sig").where("class <> lead").select(F.col("class").alias("a"), F.col("lead").alias("b"))
+    split = split.join(small(wide), "sig", "left_anti").select("sig", "class")
     tasks = max(1, split.count() // 20_000)
     split = split.join(info, "class").withColumn("task", F.pmod(F.xxhash64("sig"), F.lit(tasks)))
     others = split.groupBy("task").applyInArrow(_near(percent), "a long, b long")
-    stars = stars.where("may").select(F.col("class").alias("a"), F.col("lead").alias("b")).union(others).distinct()
+    stars = stars.where("may").select(F.col("class").alias("a"), F.col("lead").alias("b")).union(others).union(whole).distinct()
     clusters = components(stars)
 
     wanted = clusters.select(F.col("root").alias("cluster"), F.col("node").alias("class")).join(classes.select("class", "copies", "key"), "class").select("cluster", "class", "copies", "key")

@@ -8,6 +8,7 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -161,15 +162,46 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], to: str, rows_per_b
     return inside.join(starts, [*keys, "_bucket"]).withColumn(to, F.col("_start") + F.col("_rank")).drop("_start", "_rank", "_bucket")
 
 
+#: Edges of which a task keeps only stars that join the same nodes.
+EDGES = 100_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = x = top[up]
+        return x
+
+    def out() -> pa.RecordBatch:
+        rows = [(x, r) for x in list(top) if (r := root(x)) != x]
+        top.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = root(x), root(y)
+            if x != y:
+                top[max(x, y)] = min(x, y)
+        if len(top) > 2 * EDGES:
+            yield out()
+    yield out()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of the undirected graph with these long edges; root is the smallest node reachable.
 
-    Each round takes the smallest label among a node and its neighbours, then follows that label's own label, so
-    labels cross a component in about the logarithm of its width. All steps are joins and map-side combined
-    minima; labels are written to the shared folder after each round.
+    Tasks first join what their own edges connect, so that little more than an edge a node is left. Each round takes
+    the smallest label among a node and its neighbours, then follows that label's own label, so labels cross a
+    component in about the logarithm of its width. All steps are joins and map-side combined minima; labels are
+    written to the shared folder after each round.
     """
-    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = written(edges.union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    edges = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b"), "edges")
+    tasks = max(1, edges.count() // EDGES)
+    stars = written(edges.repartition(tasks, "a").coalesce(tasks).mapInArrow(_stars, "a long, b long"), "stars")
+    remove(edges)
+    both = written(stars.union(stars.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")

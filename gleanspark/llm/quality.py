@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,10 @@ STEP, CUTOFFS = 1.25, 28
 LOSS = 10
 #: Of five parts of the labels, by a hash of the id, so many show how to tighten cutoffs; the others certify.
 TUNING = 2
-#: Labelled rows, those of least hash, that the ways of tightening are learnt from, and how many good and bad ones a stratum needs for its own way.
-TUNING_ROWS, OWN_GOOD, OWN_BAD = 20_000, 30, 8
+#: How many good and bad ones a stratum needs for its own way of tightening.
+OWN_GOOD, OWN_BAD = 30, 8
+#: Rows of the histogram of levels that the driver takes; a longer one stays where it is and is summed up for each step.
+HISTOGRAM_ROWS = 100_000
 
 
 def counts_of(text: str | None, words: WordHashes) -> tuple[int, ...]:
@@ -85,31 +87,77 @@ def upper_bound(failures: int, n: int, delta: float) -> float:
     return high
 
 
-def way(levels: np.ndarray, good: np.ndarray) -> list[tuple[int, ...]]:
+Marginals = Callable[[list[int]], tuple[np.ndarray, np.ndarray]]
+
+
+def steps_of(marginals: Marginals) -> list[tuple[int, ...]]:
     """Cutoffs of all rules at once, from loose to ever stricter ones: each a level by rule, -1 for none.
 
-    ``levels`` holds for each tuning document and rule the loosest level that rejects it. Each step tightens one rule,
-    to where it rejects the most bad documents more, less LOSS times the good ones, until none is left to reject.
+    ``marginals`` gives for the cutoffs so far how many bad and good documents that these leave have which level, by
+    rule; a level is the loosest that rejects the document, CUTOFFS stands for none. Each step tightens one rule, to
+    where it rejects the most bad documents more, less LOSS times the good ones, until none is left to reject.
     """
     at, out = [-1] * len(RULES), []
-    left = np.ones(len(good), bool)
-    while (left & ~good).any():
+    while True:
+        bad, good = (x[:, :CUTOFFS].cumsum(axis=1) for x in marginals(at))
         best = None
         for r in range(len(RULES)):
-            more = levels[:, r]
-            bad_at = np.bincount(more[left & ~good], minlength=CUTOFFS + 1)[:CUTOFFS].cumsum()
-            good_at = np.bincount(more[left & good], minlength=CUTOFFS + 1)[:CUTOFFS].cumsum()
             for level in range(at[r] + 1, CUTOFFS):
-                gain = (bad_at[level] - LOSS * good_at[level], -level)
-                if bad_at[level] and (best is None or gain > best[0]):
+                gain = (bad[r, level] - LOSS * good[r, level], -level)
+                if bad[r, level] and (best is None or gain > best[0]):
                     best = gain, r, level
         if best is None:
-            break
+            return out
         _, r, level = best
         at[r] = level
-        left &= levels[:, r] > level
         out.append(tuple(at))
-    return out
+
+
+def way(levels: np.ndarray, good: np.ndarray, times: np.ndarray | None = None) -> list[tuple[int, ...]]:
+    """``steps_of`` documents with these levels by rule, each row standing for so many of them (1 unless given)."""
+    times = np.ones(len(good), np.int64) if times is None else times
+
+    def marginals(at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((2, len(RULES), CUTOFFS + 1), np.int64)
+        left = (levels > np.array(at)).all(axis=1)
+        for r in range(len(RULES)):
+            np.add.at(out, (good[left].astype(int), r, levels[left, r]), times[left])
+        return out[0], out[1]
+
+    return steps_of(marginals)
+
+
+def _summed(shown: DataFrame) -> Marginals:
+    """Marginals of a histogram (good, times, levels by rule) that stays distributed."""
+
+    def marginals(at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((2, len(RULES), CUTOFFS + 1), np.int64)
+        left = shown.where(F.forall(F.array(*(F.col(r) > level for r, level in zip(RULES, at))), lambda x: x))
+        cells = left.select("good", "times", F.posexplode(F.array(*RULES)).alias("rule", "level"))
+        for x in cells.groupBy("good", "rule", "level").agg(F.sum("times").alias("n")).collect():
+            out[int(x["good"]), x["rule"], x["level"]] = x["n"]
+        return out[0], out[1]
+
+    return marginals
+
+
+def ways_of(shown: DataFrame, strata: list[str]) -> dict[str, list[tuple[int, ...]]]:
+    """The way of each stratum by all documents of ``shown`` (stratum, good, levels by rule); one with few takes that over all strata."""
+    histogram = written(shown.groupBy("stratum", "good", *RULES).agg(F.count(F.lit(1)).alias("times")), "histogram")
+    own = {s: [0, 0] for s in strata}
+    for x in histogram.where(F.col("stratum").isin(strata)).groupBy("stratum", "good").agg(F.sum("times").alias("n")).collect():
+        own[x["stratum"]][x["good"]] = x["n"]
+    if histogram.count() <= HISTOGRAM_ROWS:
+        rows = histogram.toPandas()
+        levels, good, whose, times = rows[list(RULES)].to_numpy(int), rows["good"].to_numpy(bool), rows["stratum"].to_numpy(), rows["times"].to_numpy(np.int64)
+        of = lambda at: way(levels[at], good[at], times[at])
+        one, whole = lambda s: of(whose == s), lambda: of(slice(None))
+    else:
+        one = lambda s: steps_of(_summed(histogram.where(F.col("stratum") == s)))
+        whole = lambda: steps_of(_summed(histogram))
+    few = [s for s in strata if own[s][1] < OWN_GOOD or own[s][0] < OWN_BAD]
+    shared = whole() if few else []
+    return {s: shared if s in few else one(s) for s in strata}
 
 
 def certified(good: dict[int, int], steps: int, alpha: float, delta: float) -> int | None:
@@ -166,8 +214,9 @@ def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
 
     Null texts have no words and fail the base. A null stratum is one of its own. Labels with a null id or value
     are left out, and a document labelled twice is good if all its labels say so. Repeated rows are judged alike;
-    empty tables give an empty result; other columns are ignored. Only a histogram of strata, rules and levels
-    reaches the driver, of strata with enough labels to certify anything.
+    empty tables give an empty result; other columns are ignored. All labels of documents that pass the base count.
+    Only histograms of strata, rules and levels reach the driver, that of the joint levels of all rules if it is
+    short, else its sums for each step.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")).alias("stratum"))
     id_type = source.schema["id"].dataType.simpleString()
@@ -176,16 +225,10 @@ def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
 
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{good_col}`").alias("good")).dropna().groupBy("id").agg((F.min("good") == 1).alias("good"))
     marked = written(counts.where(~failed).join(marks, "id").select("id", "stratum", "good", *(level_of(F.expr(m)).alias(r) for r, m in RULES.items())), "marked")
-    shown = marked.where(tuning()).orderBy(F.xxhash64("id"), "id").limit(TUNING_ROWS).drop("id").toPandas()
-    levels, fine, whose = shown[list(RULES)].to_numpy(int), shown["good"].to_numpy(bool), shown["stratum"].to_numpy()
     # fewer held-out labels can certify nothing: their bound is over alpha even without failures
     held = marked.where(~tuning())
     strata = sorted(r["stratum"] for r in held.where("good").groupBy("stratum").count().where(F.col("count") >= math.ceil(1 / alpha)).select("stratum").collect())
-    ways: dict[str, list[tuple[int, ...]]] = {}
-    for s in strata:
-        own = whose == s
-        enough = (fine & own).sum() >= OWN_GOOD and (~fine & own).sum() >= OWN_BAD
-        ways[s] = way(levels[own], fine[own]) if enough else way(levels, fine)
+    ways = ways_of(marked.where(tuning()), strata)
     steps = docs.sparkSession.createDataFrame([(s, i, *step) for s, w in ways.items() for i, step in enumerate(w)], "stratum string, step int, " + ", ".join(f"at_{r} int" for r in RULES))
     # bounded by the strata that have labels: at most as many steps each as there are cutoffs
     steps = steps.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("step", *(f"at_{r}" for r in RULES)))).alias("steps"))

@@ -271,6 +271,29 @@ def test_rules_reject_junk_and_keep_the_good(spark):
     assert all(out[i] for i in range(3, 1400, 4) if not measures(rows[i][1])[1])  # too few labels
 
 
+def test_all_labels_show_how_to_tighten(spark):
+    """Bad documents of a kind that is rare among 22,000 labels are learnt from, wherever their ids fall."""
+    ids = spark.range(55_000).where(quality.tuning()).orderBy(F.xxhash64("id"), "id")
+    late = spark.createDataFrame(ids.tail(40), "id long").select("id", F.lit(True).alias("late"))
+    marked = spark.range(55_000).join(late, "id", "left").withColumn("bad", F.coalesce("late", (F.col("id") % 50 == 0) & ~quality.tuning()))
+    words = " ".join(f"word{i}" for i in range(60))
+    docs = marked.select(F.col("id").alias("doc_id"), F.when(F.col("bad"), words.replace(" ", "! ")).otherwise(words).alias("text"), F.lit("en").alias("lang"))
+    labels = marked.select(F.col("id").alias("doc_id"), F.when(F.col("bad"), 0).otherwise(1).alias("quality"))
+    out = quality.quality(docs, labels).join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    assert {(x.quality, x.kept) for x in out} == {(0, False), (1, True)}
+
+
+@pytest.mark.parametrize("most", [quality.HISTOGRAM_ROWS, 0])
+def test_ways_of_histograms(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "HISTOGRAM_ROWS", most)
+    r = random.Random(3)
+    rows = [(r.choice("abc"), r.random() < 0.8, *(r.randrange(18, quality.CUTOFFS + 1) for _ in quality.RULES)) for _ in range(400)] + [("few", True, *[quality.CUTOFFS] * 6)] * 20
+    got = quality.ways_of(spark.createDataFrame(rows, "stratum string, good boolean, " + ", ".join(f"{x} int" for x in quality.RULES)), ["a", "few"])
+    for s, own in (("a", [x for x in rows if x[0] == "a"]), ("few", rows)):
+        assert got[s] == quality.way(np.array([x[2:] for x in own]), np.array([x[1] for x in own])) != []
+
+
+
 # 4
 
 

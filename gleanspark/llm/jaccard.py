@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gleanspark.llm.shingles import PLACES, Fragments, WordHashes, places, shingle_set
-from gleanspark.llm.store import KEY, components, held, plain, remove, row_key, small, unused, written
+from gleanspark.llm.store import KEY, components, held, plain, remove, row_key, small, sweep, tracked, unused, written
 
 #: Sets compared at once: a task holds two blocks of this many.
 BLOCK = 256
@@ -23,6 +23,8 @@ FRAGMENTS, COLUMNS = 4, 4096
 COMPARED = 4096
 #: Rows, about, from which frequent shingles are learnt, and how many of them must have one. They only save work.
 SAMPLE, OFTEN = 16_384, 3
+#: Members of buckets that are compared by one task, and bitmaps for each class, about, that are sent to all tasks at once.
+NEAR_ROWS, PASS = 20_000, 12
 #: Rows of a batch that are handled at once.
 SLICE = 1000
 
@@ -44,7 +46,7 @@ def _frequent(keyed: DataFrame, k: int) -> np.ndarray:
     """A bitmap of 2**PLACES bits: the places of shingles that occur in several of about SAMPLE rows."""
     sample = keyed.where(F.pmod(F.xxhash64("key"), F.lit(max(1, keyed.count() // SAMPLE))) == 0).select("text")
     found = sample.mapInArrow(_sampled(k), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    at = found.select("place").toPandas()["place"].to_numpy(np.int64)
+    at = written(found.select("place"), "frequent").toPandas()["place"].to_numpy(np.int64)
     bits = np.zeros(1 << PLACES, np.uint8)
     bits[at] = 1
     return np.packbits(bits, bitorder="little")
@@ -257,11 +259,16 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
     # equal sets are one class from here on, with a number of its own
     classes = every.where("same is not null").groupBy("same").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sigs").alias("sigs"))
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    # what only classes need goes as soon as they have it
+    sets, every = every, written(every.select("id", "key", "n", "same"), "rows")
+    remove(sets)
 
     pairs = classes.where(F.size("sigs") > 0).select(F.explode(F.array_distinct("sigs")).alias("sig"), "class")
     shared = written(pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lead")).where("n > 1").select("sig", "lead"), "shared")
     led = written(pairs.join(small(shared), "sig"), "members")
     remove(shared)
+    full, classes = classes, written(classes.drop("sigs"), "classes")
+    remove(full)
     info = classes.select("class", "n", "bits")
     stars = led.where("class <> lead").select("class", "lead").distinct()
     stars = stars.join(info, "class").join(info.select(F.col("class").alias("lead"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "lead")
@@ -274,9 +281,15 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3, id_col: s
     wide = written(split.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMPARED).select("sig"), "wide")
     whole = split.join(small(wide), "sig").where("class <> lead").select(F.col("class").alias("a"), F.col("lead").alias("b"))
     split = split.join(small(wide), "sig", "left_anti").select("sig", "class")
-    tasks = max(1, split.count() // 20_000)
-    split = split.join(info, "class").withColumn("task", F.pmod(F.xxhash64("sig"), F.lit(tasks)))
-    others = split.groupBy("task").applyInArrow(_near(percent), "a long, b long")
+    n_split = split.count()
+    tasks = max(1, n_split // NEAR_ROWS)
+    # bitmaps are sent to the buckets in passes, so that the disk holds no more of them at once than a few for each class
+    passes = max(1, min(tasks, -(-n_split // (PASS * classes.count() + 1))))
+    split, others = split.withColumn("task", F.pmod(F.xxhash64("sig"), F.lit(tasks))), None
+    for i in range(passes):
+        near = split.where(F.pmod("task", F.lit(passes)) == i).join(info, "class").groupBy("task").applyInArrow(_near(percent), "a long, b long")
+        near = written(near, "near")
+        others = near if others is None else others.union(near)
     stars = stars.where("may").select(F.col("class").alias("a"), F.col("lead").alias("b")).union(others).union(whole).distinct()
     clusters = components(stars)
 
@@ -315,11 +328,14 @@ def one_per_group(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str =
     Rows without shingles all stay. Of equal rows one stays.
     """
     key, twice, number = unused(docs, "_key", "_twice", "_n")
+    before = tracked(docs.sparkSession)
     groups = jaccard_components(docs, percent, k, id_col, text_col).where("component is not null").select(F.col(f"`{id_col}`").alias("id"), "row_key", "component")
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("row_key").alias("k"))
     first = groups.groupBy("component").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     stays = F.col("row_key") == F.col("one.k")
     many = written(groups.join(first, "component").groupBy("row_key").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("rows")), "many")
+    # the texts may be shuffled from here on, and take the place of all that led to this table
+    sweep(docs.sparkSession, before | {x for x in tracked(docs.sparkSession) if x.rpartition("/")[2].startswith("many-")})
     names = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn(key, row_key(id_col, text_col))
     rest = keyed.join(small(many.where("not stays").select(F.col("row_key").alias(key))), key, "left_anti")

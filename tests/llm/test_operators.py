@@ -456,6 +456,28 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100}
 
 
+def test_near_duplicates_leave_little_on_disk(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(60):
+        words = prose(120, 7000 + i % 6).split()
+        for _ in range(r.randrange(9)):
+            words[r.randrange(len(words))] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    before = store.tracked(spark)
+    kept = jaccard.one_per_group(df, 80, 5)
+    assert {x.rpartition("/")[2].partition("-")[0] for x in store.tracked(spark) - before} == {"many"}
+    sets = [shingles.shingle_set(t, 5, shingles.WordHashes()) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert {x.doc_id for x in kept.collect()} == set(label)
+
+
 # 7
 
 

@@ -401,24 +401,29 @@ def _found(pieces: DataFrame, length: int, index_bytes: int) -> DataFrame:
 
 
 def _hits(segments_: DataFrame) -> DataFrame:
-    """(key, rows, lo, n, bucket, content) of the segments whose bucket isn't theirs alone.
+    """(key, rows, lo, n, bucket, content, mixed) of the segments whose bucket isn't theirs alone; mixed: nor alike throughout.
 
     A bucket that many segments share is summed up before it is shuffled, and can be split where it is joined.
     """
     cuts = segments_.where(F.size("lo") > 0).select("key", "rows", F.explode(F.arrays_zip(*_LISTS)).alias("s")).select("key", "rows", "s.*")
-    shared = written(cuts.groupBy("bucket").agg(F.sum("rows").alias("n")).where("n > 1").select("bucket"), "shared")
+    shared = written(cuts.groupBy("bucket").agg(F.sum("rows").alias("n"), (F.min("content") < F.max("content")).alias("mixed")).where("n > 1").select("bucket", "mixed"), "shared")
     return written(cuts.join(shared, "bucket"), "hits")
 
 
 def _marks(hits: DataFrame, texts: DataFrame, length: int, index_bytes: int) -> DataFrame:
-    """(key, marks): the starts of repeated windows in the texts (key, text)."""
-    kinds = hits.groupBy("bucket", "content").agg(F.sum("rows").alias("copies"), F.min(F.struct("key", "lo", "n")).alias("one"))
+    """(key, marks): the starts of repeated windows in the texts (key, text).
+
+    Where all segments of a bucket are alike each one's windows are repeated by another's, and nothing is to be sought.
+    """
+    alike = hits.where("not mixed").select("key", F.array(F.struct(F.col("lo").alias("a"), (F.col("lo") + F.col("n")).alias("b"))).alias("marks"))
+    mixed = hits.where("mixed")
+    kinds = mixed.groupBy("bucket", "content").agg(F.sum("rows").alias("copies"), F.min(F.struct("key", "lo", "n")).alias("one"))
     wanted = kinds.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("bucket", "content", "copies", "one.lo", "one.n")).alias("wanted"))
     pieces = written(texts.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_pieces(length), _PIECE_KINDS), "pieces")
     found = _found(pieces, length, index_bytes)
-    spans = hits.select("key", "lo", F.col("bucket").alias("home"), F.col("content").alias("whole")).join(found, ["home", "whole"])
+    spans = mixed.select("key", "lo", F.col("bucket").alias("home"), F.col("content").alias("whole")).join(found, ["home", "whole"])
     # equal rows have equal spans
-    marks = spans.select("key", _shifted("marks", "lo").alias("marks")).groupBy("key").agg(F.flatten(F.collect_set("marks")).alias("marks"))
+    marks = alike.union(spans.select("key", _shifted("marks", "lo").alias("marks"))).groupBy("key").agg(F.flatten(F.collect_set("marks")).alias("marks"))
     marks = written(marks, "marks")
     remove(pieces)
     remove(hits)
@@ -493,7 +498,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     columns are ignored.
 
     Each window of ``passage`` bytes has one anchor (a minimiser), so equal windows meet in one bucket. Windows
-    whose bucket is theirs alone are unique. One piece of each other kind, with the number of its copies, goes into
+    whose bucket is theirs alone are unique, and all are repeats where a bucket's are of one kind. One piece of each
+    other kind, with the number of its copies, goes into
     run-length indexes over whole buckets, whose matching statistics mark the windows. A bucket of more than
     ``index_bytes`` is split by the bytes that its windows share and indexed likewise, so no task holds more. Longer
     repeats are sought in the same way, in what shorter ones cover.

@@ -82,6 +82,16 @@ def test_repeats(docs, length, passage, limit):
     assert bag(out, "*") == want
 
 
+def test_buckets_of_one_kind_are_not_indexed(spark, monkeypatch):
+    text, indexed, found = " ".join(f"w{i}x{i * 7919}" for i in range(200)), [], repeats._found
+    monkeypatch.setattr(repeats, "_found", lambda pieces, *rest: indexed.append(pieces.count()) or found(pieces, *rest))
+    df = spark.createDataFrame([(i, text) for i in range(3)] + [(3, text[:900] + "-" + text[1200:])], "doc_id bigint, text string")
+    every, changed = repeats.remove_repeats(df, 60)
+    left = {x.n_bytes: x.kept for x in every.join(changed, "key").collect()}
+    assert left == {len(text): b"", len(text) - 299: text[:900].encode()[900:] + b"-"}
+    assert 0 < indexed[0] < 12  # those about the cut, of some hundred kinds
+
+
 def test_repeats_of_nothing(empty):
     every, changed = repeats.remove_repeats(empty)
     assert every.count() == changed.count() == 0

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import json
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ from gleanspark.llm.store import KEY, held, plain, ranked, row_key, written
 
 #: The token after each document.
 END = 1
-#: Words whose ids a worker remembers, and characters of a text that is held whole against the library.
+#: Chunks whose ids a worker remembers, and characters of a text that is held whole against the library.
 REMEMBERED, CHECKED = 400_000, 20_000
 #: How near to the least number of padded tokens a plan must be proven to be.
 GAP = 0.002
@@ -25,13 +27,28 @@ GAP = 0.002
 TURNS = 30
 
 
+class Spelling(dict):
+    """Characters as byte-level vocabularies spell their bytes."""
+
+    def __init__(self, visible: dict[int, int]):
+        self.visible = visible
+
+    def __missing__(self, c: str) -> str:
+        self[c] = c.encode().decode("latin-1").translate(self.visible)
+        return self[c]
+
+
 class Encoder(dict):
-    """Ids of texts by the ``tokenizers`` library, as little-endian bytes; remembers those of ``remembered`` words, and asks once for each.
+    """Ids of texts by the ``tokenizers`` library, as little-endian bytes; remembers those of ``remembered`` chunks, and asks once for each word.
+
+    A byte-level vocabulary splits a text into words by one pattern and encodes each alone. No word goes on from a
+    character that isn't white into white space, so a text is cut there into chunks, and what holds of their words
+    holds for texts. The pattern's classes of characters are taken from the library too: a text with a character
+    that it puts elsewhere than ``regex`` does goes to the library whole, as do all texts of files of another kind.
 
-    A byte-level vocabulary splits a text into words by one pattern and encodes each alone, so what the library says
-    of words holds for texts. The pattern's classes of characters are taken from the library too: a text with a
-    character that it puts elsewhere than ``regex`` does goes to the library whole, as do all texts of files of
-    another kind.
+    Keys are what follows a space, if it has none itself; a chunk that begins with a line feed, as it is; after a
+    space, any other string. The value is None where a chunk ends in white space, so that the next belongs to it,
+    or if only the library can tell.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -39,15 +56,16 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.own, self.remembered = Tokenizer.from_file(path), remembered
+        self.older: dict[str, bytes | None] = {}
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         split, added = model["pre_tokenizer"] or {}, model["added_tokens"]
-        self.by_words = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not model["normalizer"] and not model["truncation"] and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.by_words = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not model["normalizer"] and not model["truncation"] and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(c.isspace() for t in added for c in t["content"])
         self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
         self.added = {t["content"] for t in added}
         # fixed values: bytes that byte-level vocabularies spell as themselves; the others follow from 256 on, in order
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.visible = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}
+        self.spelt, self.tokenize = Spelling({b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}), self.own.model.tokenize
         # fixed values: the splitting pattern of byte-level vocabularies; for ASCII alone it needs no Unicode classes
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
@@ -55,15 +73,26 @@ class Encoder(dict):
         self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
         self.numbers: set[str] = set(map(chr, (0x1C, 0x1D, 0x1E, 0x1F)))
         self.classes = [(regex.compile(c), x) for c, x in ((r"\p{L}", "a"), (r"\p{N}", "1"), (r"[^\s\p{L}\p{N}]", "."))]
+        self.white: set[str] = set()
+        self.letters: set[str] = set()
         self.sound: set[str] = set()
         self.odd: set[str] = set()
         self.learn_classes(set(map(chr, range(128))))
         self.ascii_odd = frozenset(self.odd)
+        self.marks = "".join(c for c in string.punctuation if c in self.sound)
+        self.learn_classes({c for t in self.added for c in t} - self.sound - self.odd)
+        # added tokens that may lie in letters and marks after them
+        self.hidden = any(self.letters.issuperset(t.rstrip(self.marks)) for t in self.added)
 
     def learn_classes(self, characters: set[str]) -> None:
         for c in characters:
+            ours = [bool(k.match(c)) for k, _ in self.classes]
             theirs = [len(self.own.pre_tokenizer.pre_tokenize_str(x + c)) == 1 for _, x in self.classes]
-            (self.sound if theirs == [bool(k.match(c)) for k, _ in self.classes] else self.odd).add(c)
+            (self.sound if theirs == ours else self.odd).add(c)
+            if not any(ours):
+                self.white.add(c)
+            if ours[0] and theirs == ours:
+                self.letters.add(c)
             if theirs != [c.isalpha(), "0" <= c <= "9", not c.isalnum() and not c.isspace()]:
                 self.numbers.add(c)
 
@@ -92,24 +121,65 @@ class Encoder(dict):
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        """Asks the library's model for the ids of words, spelt as it spells bytes."""
-        tokenize = self.own.model.tokenize
-        for word in words:
-            self[word] = array("I", [t.id for t in tokenize(word.encode().decode("latin-1").translate(self.visible))]).tobytes()
-        for word in words & self.added:
-            self[word] = self.library([word])[0]
+    def __missing__(self, key: str) -> bytes | None:
+        ids = self.older.pop(key, None)
+        if not ids:
+            # most are letters, and marks after them
+            letters = key.rstrip(self.marks)
+            if not letters or not self.letters.issuperset(letters) or self.hidden and self.special.search(key):
+                ids = self.learn(key)
+            elif letters == key:
+                ids = self.ask(" " + key)
+            else:
+                known, ids = letters in self, self[letters] + self[" " + key[len(letters) :]]
+                if not known:  # most new words don't come again with the same marks
+                    return ids
+        if len(self) >= self.remembered // 2:
+            self.older = self.copy()
+            self.clear()
+        self[key] = ids
+        return ids
+
+    def ask(self, word: str) -> bytes:
+        """Asks the library's model for the ids of a word, spelt as it spells bytes."""
+        spelt = self.spelt[" "] + word[1:] if word[0] == " " and word.isascii() and word[1:].isalpha() else "".join(map(self.spelt.__getitem__, word))
+        return array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
+
+    def learn(self, key: str) -> bytes | None:
+        text = key[1:] if key[:1] == " " else key if key[:1] == "\n" else " " + key
+        words = self.words(text)
+        if words is None or key[:1] != " " and text[-1] in self.white:
+            return None
+        if len(words) == 1:
+            return self.library(words)[0] if words[0] in self.added else self.ask(words[0])
+        # a first word after a space is what the chunk of this word alone is
+        return b"".join([self[w[1:] if w[0] == " " and len(w) > 1 and w[1] not in self.white else " " + w] for w in words])
+
+    def by_chunks(self, text: str) -> bytes | None:
+        """Ids of a text, None if only the library can tell."""
+        body = text.rstrip(" \n")
+        first, *chunks = body.replace("\n", " \n").split(" ")
+        with contextlib.suppress(TypeError):  # None among the bytes
+            ids = self[" " + first] + b"".join(map(self.__getitem__, chunks)) + self[" " + text[len(body) :]]
+            if first[-1:] not in self.white:
+                return ids
+        if self.words(text) is None:
+            return None
+        # chunks that end in white space go with the next
+        run, keys = (first, []) if first[-1:] in self.white else ("", [" " + first])
+        for chunk in chunks:
+            part = chunk if chunk[:1] == "\n" else " " + chunk
+            if part[-1] in self.white:
+                run += part
+            else:
+                keys.append(" " + run + part if run else chunk)
+                run = ""
+        return b"".join(map(self.__getitem__, [*keys, " " + run + text[len(body) :]]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = list(map(self.words, texts))
-        words = [w for w in split if w is not None]
-        new = set(itertools.filterfalse(self.__contains__, itertools.chain.from_iterable(words)))
-        if len(self) + len(new) > self.remembered:
-            self.clear()
-            new = set().union(*words)
-        self.learn(new)
-        whole = iter(self.library([t for t, w in zip(texts, split) if w is None]))
-        out = [next(whole) if w is None else b"".join(map(self.__getitem__, w)) for w in split]
+        out = list(map(self.by_chunks, texts)) if self.by_words else [None] * len(texts)
+        whole = iter(self.library([t for t, ids in zip(texts, out) if ids is None]))
+        out = [next(whole) if ids is None else ids for ids in out]
         # one text of each call, whichever, is held whole against the library, so that another version can't go unnoticed
         if texts:
             i = sum(map(len, texts)) % len(texts)
@@ -355,7 +425,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", t
     over the histogram of their lengths, which has at most ``size`` - 1 rows whatever the input. A pattern takes a
     range of the ranks among pieces of a length, so places follow by arithmetic. ``size`` is a power of two.
 
-    A worker remembers the ids of ``remembered`` words, of about 150 bytes each. Very long texts give as many pieces as
+    A worker remembers the ids of ``remembered`` chunks, of about 150 bytes each. Very long texts give as many pieces as
     they need. Null texts are empty: one piece, the end token alone. Repeated rows and null ids are documents like others; an
     empty table gives an empty result; other columns are ignored.
     """

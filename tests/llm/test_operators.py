@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import io
+import json
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -718,6 +720,35 @@ def test_ids_are_the_librarys():
     assert encoder.encode([]) == []
 
 
+def test_texts_of_known_chunks_are_only_looked_up(monkeypatch):
+    from tokenizers import Tokenizer
+
+    own, encoder = Tokenizer.from_file(packing.vocabulary()), packing.Encoder(packing.vocabulary())
+    encoder.encode(["the garden, and Öl for the end.\nNext (one)"])
+    text = "the (one) garden, the end. Öl\nNext for and end garden"
+    monkeypatch.setattr(encoder, "words", lambda text: pytest.fail(f"{text!r} was split into words"))
+    assert encoder.encode([text]) == [np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+@pytest.mark.parametrize("remembered", [1, 9, 1000])
+def test_chunks_are_cut_where_no_word_crosses(remembered, tmp_path):
+    """White space before and after line feeds, tokens among letters and marks, and less memory than words."""
+    from tokenizers import Tokenizer
+
+    model = json.loads(Path(packing.vocabulary()).read_text(encoding="utf-8"))
+    last = max(model["model"]["vocab"].values())
+    model["added_tokens"] += [{**model["added_tokens"][0], "id": last + 1 + i, "content": c} for i, c in enumerate(("wor", "?!"))]
+    (tmp_path / "more.json").write_text(json.dumps(model), encoding="utf-8")
+    r, parts = random.Random(7), ["word", "the", "é", " ", " ", " ", "\n", "\n", "  ", "\t", "\r", "\u3000", "\x1c", "'", "'s", ".", ",", "?!", "12", "wor", "<|endoftext|>"]
+    texts = ["", " ", "\n", " \n ", "\u3000", "\u3000 the\u3000\n"] + ["".join(r.choice(parts) for _ in range(r.randrange(16))) for _ in range(1500)]
+    for path in (packing.vocabulary(), str(tmp_path / "more.json")):
+        own, encoder = Tokenizer.from_file(path), packing.Encoder(path, remembered)
+        for at in range(0, len(texts), 100):
+            part = texts[at : at + 100]
+            assert encoder.encode(part) == [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+            assert len(encoder) + len(encoder.older) <= max(2, remembered)
+
+
 def test_cutting_stock_places_all_with_little_padding():
     r = random.Random(1)
     counts = Counter(min(2047, int(r.lognormvariate(6, 1)) + 1) for _ in range(3000))
